@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import chat, line_dedup, mixing, packing, quality
+from missiva.llm import chat, jaccard, knn, langid, line_dedup, mixing, packing, quality, toxicity, warc
 from missiva.llm.common import table
 
 
@@ -40,8 +40,40 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(probe)))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "comp", "text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_line_dedup, op4_packing, op5_chat_format)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_mix_sources,
+        op3_line_dedup,
+        op4_packing,
+        op5_chat_format,
+        op6_exact_top_k,
+        op7_warc,
+        op8_language_id,
+        op9_toxicity,
+        op10_jaccard_join,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -49,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_chat_format": chat.ORACLE_SQL,
+    "op6_exact_top_k": knn.ORACLE_SQL,
 }
