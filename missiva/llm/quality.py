@@ -140,8 +140,9 @@ def quality(docs: DataFrame, *, max_loss: float = MAX_LOSS, keep_columns: bool =
         F.coalesce("good_text", F.array_join("lines", "\n")).alias("cleaned"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    f = e.withColumn("base_failed", failed)
-    return f.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.lit(max_loss) * F.col("n_words")))
+    # the verdict reads a row number, so that a filter on it isn't pushed below the columns and works them out again
+    f = e.withColumn("row_number", F.monotonically_increasing_id()).withColumn("base_failed", failed)
+    return f.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.lit(max_loss) * F.col("n_words")) & (F.col("row_number") >= 0))
 
 
 _LINE_SQL = r"""(NOT regexp_matches(x, '[^\x20\x09-\x0D]') OR (

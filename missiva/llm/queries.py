@@ -12,7 +12,7 @@ from missiva.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents")).drop("cleaned")
+    return quality.quality(table(spark, sf_dir, "documents")).drop("cleaned", "row_number")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

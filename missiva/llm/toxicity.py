@@ -63,7 +63,7 @@ def mine_stems(sample: DataFrame, *, min_support: int = MIN_SUPPORT, min_ratio:
     if not rows["c"] or not rows["t"]:
         return []
     ratio = ((F.col("toxic") + 0.5) / (rows["t"] + 1)) / ((F.col("clean") + 0.5) / (rows["c"] + 1))
-    enough = max(min_support, rows["t"] // 250)
+    enough = max(min_support, rows["t"] // 100)
     found = (
         summed.filter((F.col("feature") != "") & (F.col("toxic") >= enough) & (ratio >= min_ratio))
         .orderBy(F.desc("toxic"), "feature")
