@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from missiva.functions.patterns import rx, sub
 
@@ -34,7 +35,7 @@ MONTH_ALTERNATIVES = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode's canonical composition, which Spark has no function for."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
