@@ -5,8 +5,8 @@ found by comparing each turn with its neighbours in the sorted array; the blocks
 
     <turn ROLE>TEXT<part>TEXT</turn>
 
-Texts and roles are escaped so that no ``<`` is left in them: a backslash becomes ``\b`` and ``<`` becomes ``\l``. So
-every ``<`` of the output begins a marker, and unescaping (first ``\l``, then ``\b``) gives each text back exactly.
+Texts and roles are escaped so that no ``<`` is left in them: a backslash becomes ``\b`` and ``<`` becomes ``\l``, in roles also ``>`` becomes ``\g``. So
+every ``<`` of the output begins a marker, and unescaping (``\b`` last) gives each text back exactly.
 
 The output is an array of segments (text, loss); the formatted conversation is all segments' text, and the loss mask
 covers the escaped text of the assistant's turns, without markers.
@@ -44,10 +44,13 @@ def format_chats(turns: DataFrame, *, loss_role: str = LOSS_ROLE) -> DataFrame:
     )
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
 
+    def role(x: Column) -> Column:
+        return F.replace(escape(x["role"]), F.lit(">"), F.lit("\\g"))
+
     def pieces(x: Column, i: Column) -> Column:
         opens = F.coalesce(F.get("x", i - 1)["role"] != x["role"], F.lit(True))
         closes = F.coalesce(F.get("x", i + 1)["role"] != x["role"], F.lit(True))
-        before = F.when(opens, F.concat(F.lit("<turn "), escape(x["role"]), F.lit(">"))).otherwise("<part>")
+        before = F.when(opens, F.concat(F.lit("<turn "), role(x), F.lit(">"))).otherwise("<part>")
         return F.array(
             F.struct(before.alias("text"), F.lit(False).alias("loss")),
             F.struct(escape(x["text"]).alias("text"), (x["role"] == loss_role).alias("loss")),
@@ -62,7 +65,7 @@ def parse_chats(formatted: Column) -> Column:
     """The turns of a formatted conversation: array<struct<role, text>>."""
 
     def turns_of(block: Column) -> Column:
-        role = unescape(F.substring_index(block, ">", 1))
+        role = unescape(F.replace(F.substring_index(block, ">", 1), F.lit("\\g"), F.lit(">")))
         body = F.substring(block, F.length(F.substring_index(block, ">", 1)) + 2, F.length(block))
         texts = F.split(F.replace(body, F.lit("</turn>"), F.lit("")), "<part>", -1)
         return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
@@ -103,7 +106,7 @@ n AS (
 p AS (
   SELECT *, length(text) + (length(text) - length(replace(replace(text, '\', ''), '<', ''))) AS esc_chars,
          CASE WHEN before IS NULL OR before <> role
-              THEN 7 + length(role) + (length(role) - length(replace(replace(role, '\', ''), '<', ''))) ELSE 6 END
+              THEN 7 + length(role) + (length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), '>', ''))) ELSE 6 END
          + CASE WHEN after IS NULL OR after <> role THEN 7 ELSE 0 END AS marks
   FROM n)
 SELECT conv_id, count(*) AS n_turns,
