@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.functions import language, normalise
-from missiva.operators import ocr, records, scan_fields, scoring
-from missiva.plans.profiles import scan_fields_scored, scan_profile
+from missiva.operators import ocr, records, scan_fields, scoring, text_fields
+from missiva.plans.profiles import scan_fields_scored, scan_profile, text_fields_scored, text_profile
 from missiva.sources import files
 from missiva.sources.letters import COURRIERS_CTE, LETTERS_CTE, courriers, letters
 
@@ -333,6 +333,39 @@ def review_queue(spark, sf_dir):
     return scoring.review_queue(scan_fields_scored(letters(spark, sf_dir)))
 
 
+@query(
+    "SELECT id, CASE WHEN id % 2 = 0 THEN concat(id % 900 + 100, '/', regexp_replace(CAST(id % 8000 + 1000 AS VARCHAR), '^(?:20[6-9]6|[6-9]026)$', '2026')) ELSE CAST(id % 900 + 100 AS VARCHAR) END AS numero,"
+    r" regexp_extract(texte_complet, 'le (\d\d [^ ]+ \d{4})', 1) AS date, regexp_extract(texte_complet, 'Objet : ([^\n]+)', 1) AS objet,"
+    " CASE WHEN texte_complet LIKE '%Bordereau d''envoi%' THEN 'bordereau' WHEN texte_complet LIKE '%Note de service%' THEN 'note' ELSE 'lettre' END AS type_document,"
+    " CASE WHEN id % 4 = 3 THEN 'La Présidence - Marrakech' WHEN id % 3 = 0 THEN 'FSS-Marrakech' WHEN id % 3 = 1 THEN 'FST-Marrakech' ELSE 'La Présidence - Marrakech' END AS etablissement,"
+    " CASE WHEN id % 4 = 3 THEN 'fr+ar' ELSE 'fr' END AS langue FROM letters WHERE id % 4 <> 3",
+    LETTERS_CTE,
+)
+def text_profile_fields(spark, sf_dir):
+    """The French letters."""
+    out = text_profile(letters(spark, sf_dir).filter("id % 4 <> 3"))
+    return out.select("id", "numero", "date", "objet", "type_document", "etablissement", F.col("langue_detectee").alias("langue"))
+
+
+@query()
+def text_profile_bodies(spark, sf_dir):
+    return text_profile(letters(spark, sf_dir)).select("id", "expediteur", "destinataire", "corps")
+
+
+@query()
+def score_text(spark, sf_dir):
+    return text_fields_scored(letters(spark, sf_dir))
+
+
+@query(
+    ", z AS (SELECT id, texte_complet AS t, strpos(texte_complet, chr(10) || 'A' || chr(10) || 'Monsieur') - 1 AS p FROM letters)"
+    " SELECT id, substr(t, 1, greatest(800, least(p + 200, 3000))) AS header FROM z",
+    LETTERS_CTE,
+)
+def header_zone_text(spark, sf_dir):
+    return letters(spark, sf_dir).select("id", text_fields.text_header(F.col("texte_complet")).alias("header"))
+
+
 # --- around OCR ----------------------------------------------------------------------------------------------------
 
 

@@ -124,3 +124,50 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, LETTER)], "id long, texte_complet string").write.parquet(source)
     run_profile(letters_stream(spark, source), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first().numero == "221/1234"
+
+
+TEXT_LETTER = (
+    "Université Cadi Ayyad\nFaculté des Sciences Semlalia\nN° 830/26\nMarrakech, le 27 JAN 2022\nLe Doyen\nA\nMonsieur le Président de l'Université Cadi Ayyad\n"
+    "OBJET : Envoi de dossiers\nMonsieur le Président,\nJ'ai l'honneur de vous adresser les dossiers des candidats.\n||| --- |||\nVeuillez agréer mes salutations.\nLe Doyen\n"
+)
+
+
+def test_text_letter(spark):
+    from missiva.plans.profiles import text_profile
+
+    df = spark.createDataFrame([(1, TEXT_LETTER), (2, ""), (3, None)], "id long, texte_complet string")
+    rows = {r.id: r for r in text_profile(df).collect()}
+    row = rows[1]
+    assert (row.numero, row.date, row.etablissement, row.type_document) == ("830/26", "27 janvier 2022", "FSS-Marrakech", "lettre")
+    assert row.objet == "Envoi de dossiers" and row.expediteur == "Le Doyen — FSS Semlalia"
+    assert row.destinataire == "Monsieur le Président de l'Université Cadi Ayyad"
+    assert row.corps == "OBJET : Envoi de dossiers\nMonsieur le Président,\nJ'ai l'honneur de vous adresser les dossiers des candidats.\nVeuillez agréer mes salutations."
+    assert rows[2].type_document is None and rows[3].numero is None
+
+
+@pytest.mark.parametrize(
+    "text,date",
+    [
+        ("12 Marrakech 2024", "12 mars 2024"),
+        ("3 JUILL 2024", "03 juin 2024"),
+        ("3 JUILLET 2024", "03 juillet 2024"),
+        ("du 3 mai 2024", None),
+        ("le 3 mai 2024 à 10h", None),
+        ("45/01/2024", None),
+        ("05/01/2031", "05 janvier 2031"),
+        ("2 8 avril 2026", "28 avril 2026"),
+    ],
+)
+def test_text_dates(spark, text, date):
+    from missiva.operators import text_fields
+
+    assert one(spark, text_fields.date_in, text) == date
+
+
+def test_text_stamp(spark):
+    from missiva.operators import text_fields
+
+    stamp = "Bruit\nPRESIDENCE DE L'UNIVERSITE\nCADI AYYAD - MARRAKECH\nArrivé le : 04512\n0 2 AVR. 2026\n"
+    zone = spark.createDataFrame([(stamp,)], "t string").select(text_fields.stamp_zone(F.col("t")).alias("z"))
+    row = zone.select(text_fields.stamp_number(F.col("z")).alias("n"), text_fields.stamp_date(F.col("z")).alias("d")).first()
+    assert (row.n, row.d) == ("4512", "02 avril 2026")
