@@ -8,7 +8,8 @@ first); expectation maximisation by forward and backward passes runs as one task
 number that bound limits. Scoring: each Python worker keeps a bounded table of the words it has met with their log
 probabilities in all languages, so that a text is a sum of table rows.
 
-Words are runs of letters in lower case, with the vocabulary's word-start mark before them. Letters that no piece holds
+Words are runs of letters in lower case, with the vocabulary's word-start mark before them; runs of over LONGEST_WORD
+letters count in parts of that length. Letters that no piece holds
 count the same in every language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text where no language was
@@ -35,7 +36,9 @@ LONGEST_PIECE = 8
 FLOOR = 1e-7
 UNKNOWN = 1e-9
 TABLE_WORDS = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words; longer runs of letters count in parts of LONGEST_WORD.
+LONGEST_WORD = 64
+LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
 
 _pieces: dict[str | None, dict[str, int]] = {}
 
@@ -176,7 +179,7 @@ def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, vocabulary: str | None = N
 
     def learn(df: pd.DataFrame) -> pd.DataFrame:
         known_pieces = pieces(vocabulary)
-        df = df[df["word"].str.len() <= 64].sort_values("word")  # longer runs of letters are no words to learn from
+        df = df.sort_values("word")
         if not len(df):
             return pd.DataFrame({"lang": [], "piece": [], "p": []})
         p = fit_pieces(df["word"].tolist(), df["n"].to_numpy(float), known_pieces, rounds)

@@ -17,6 +17,7 @@ empty table gives an empty result; extra columns are not read. Memory: a slice o
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ LENGTH = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SLICE_CHARS = 2_000_000
+#: Runs of white space from this length on overflow the encoder's own splitter; such texts are split here.
+LONG_SPACE = 2000
 
 _encodings: dict[str, object] = {}
 
@@ -54,6 +57,20 @@ def encoding(path: str | None = None):
     return _encodings[path]
 
 
+def token_ids(text: str, vocabulary: str | None = None) -> list[int]:
+    """The ids of one text, however long its runs of white space are."""
+    encoder = encoding(vocabulary)
+    if len(text) < LONG_SPACE or not re.search(rf"\s{{{LONG_SPACE}}}", text):
+        return encoder.encode_ordinary(text)
+    import public_tokenizers
+    import regex
+
+    out: list[int] = []
+    for piece in regex.finditer(public_tokenizers.PATTERN, text):
+        out += encoder._encode_single_piece(piece[0].encode()) if len(piece[0]) >= LONG_SPACE else encoder.encode_ordinary(piece[0])
+    return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) of about SLICE_CHARS characters."""
     ids, texts, chars = [], [], 0
@@ -76,11 +93,11 @@ def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = E
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, encode = TaskContext.get().partitionId(), 0, encoding(vocabulary).encode_ordinary
+        part, at = TaskContext.get().partitionId(), 0
         for ids, texts in _slices(batches):
             begins, counts, packed = [], [], []
             for text in texts:
-                tokens = np.array([*encode(text), end_id], dtype="<u2")
+                tokens = np.array([*token_ids(text, vocabulary), end_id], dtype="<u2")
                 begins.append(at)
                 counts.append(len(tokens))
                 packed.append(tokens.tobytes())

@@ -159,7 +159,10 @@ def test_tokeniser_agrees():
     tokenizer = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     for text in ("", " ", "a<|endoftext|>b", "naïve  Straße x y", "日本語 العربية 👩‍🚀", "\r\n\r\n\t  x", "0123 4,567.89", "don't I'LL we've", "x" * 3000, "\x00\x7f�"):
-        assert packing.encoding().encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert packing.token_ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in (" " * 5000, "a" + " " * 5000 + "b c\n\n" + "\n" * 3000 + " d", "\u3000" * 2500 + "x"):
+        assert packing.token_ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(packing.token_ids(" " * 1_000_000)) > 1000
 
 
 def test_chat(spark):
