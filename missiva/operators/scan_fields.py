@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missiva.functions import rules as R
-from missiva.functions.patterns import best_name, cut, end, first_name, group, has, mapped, non_empty, start, strip, sub
+from missiva.functions.patterns import best_name, cut, end, first_name, group, has, mapped, non_empty, rx, start, strip, sub
 
 FIELDS = ("numero", "date", "objet", "expediteur", "destinataire", "type_document", "etablissement")
 
@@ -144,6 +144,23 @@ def expediteur(t: Column, zone: Column, body: Column) -> Column:
     )
 
 
+# Words that keep their capitals, and those that lose all, in texts that are all capitals.
+ACRONYMS = ("UCA", "FST", "FSS", "FSJES", "CRI", "EST", "ENSA", "ENCG", "FMP", "FLSH")
+SMALL_WORDS = ("LE", "LA", "LES", "DE", "DU", "DES", "D'L")
+
+
+def capitalised(s: Column, kept: tuple[str, ...] = ACRONYMS, small: tuple[str, ...] = SMALL_WORDS) -> Column:
+    """A text of over ten characters, all capitals, word by word in mixed case; others as they are."""
+
+    def word(w: Column) -> Column:
+        mixed = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+        return F.when(w.isin(*kept), w).when(w.isin(*small), F.lower(w)).otherwise(mixed)
+
+    named = F.array_join(F.transform(F.array_remove(F.split(s, rx(r"\s+")), ""), word), " ")
+    named = F.concat(F.upper(F.substring(named, 1, 1)), F.substring(named, F.lit(2), F.length(named)))
+    return F.when((s == F.upper(s)) & s.rlike(r"\p{Lu}") & (F.length(s) > 10), named).otherwise(s)
+
+
 def clean_destinataire(raw: Column) -> Column:
     s = sub(strip(raw), r"\A[\|\s«»\-,]+", "")
     s = sub(sub(sub(s, r"\n+", ", "), r"\s+", " "), r"[\s,]+\z", "")
@@ -151,16 +168,7 @@ def clean_destinataire(raw: Column) -> Column:
     is_arabic = (arabic > 3) & (arabic >= F.regexp_count(s, F.lit("[A-Za-zÀ-ÿ]")))
     s = F.when(is_arabic, s).otherwise(strip(sub(sub(s, r"[\x{0600}-\x{06FF}]+", ""), r"\s+", " ")))
     s = F.get(F.split(s, r"(?Ud)\s+(?:Objet|OBJET|Bordereau|BORDEREAU|الموضوع|ال[مم]و[ضصظط]و[عغ]|Nature|Nombre|Veuillez)\s*[:\s]", 2), F.lit(0))
-    kept = ("UCA", "FST", "FSS", "FSJES", "CRI", "EST", "ENSA", "FMP", "FLSH")
-    small = ("LE", "LA", "LES", "DE", "DU", "DES")
-    words = F.array_remove(F.split(s, r"(?Ud)\s+"), "")
-    named = F.array_join(
-        F.transform(words, lambda w: F.when(w.isin(*kept), w).when(w.isin(*small), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))),
-        " ",
-    )
-    named = F.concat(F.upper(F.substring(named, 1, 1)), F.substring(named, 2, 100000))
-    capitals = ~is_arabic & (s == F.upper(s)) & s.rlike(r"\p{Lu}") & (F.length(s) > 10)
-    s = F.when(capitals, named).otherwise(s)
+    s = F.when(is_arabic, s).otherwise(capitalised(s, ("UCA", "FST", "FSS", "FSJES", "CRI", "EST", "ENSA", "FMP", "FLSH"), ("LE", "LA", "LES", "DE", "DU", "DES")))
     return F.when(F.length(s) > 5, strip(s))
 
 

@@ -171,3 +171,33 @@ def test_text_stamp(spark):
     zone = spark.createDataFrame([(stamp,)], "t string").select(text_fields.stamp_zone(F.col("t")).alias("z"))
     row = zone.select(text_fields.stamp_number(F.col("z")).alias("n"), text_fields.stamp_date(F.col("z")).alias("d")).first()
     assert (row.n, row.d) == ("4512", "02 avril 2026")
+
+
+@pytest.mark.parametrize(
+    "text,subject",
+    [
+        ("Veuillez trouver ci-joint :\nNature\n12\nDemande de mutation de :\nKarim Alami\n", "Demande de mutation de : Karim Alami"),
+        ("Bordereau d'envoi\nTransmission des dossiers de candidature\n", "Transmission des dossiers de candidature"),
+        ("Rien", None),
+    ],
+)
+def test_slip_subjects(spark, text, subject):
+    from missiva.operators import text_fields
+
+    assert one(spark, text_fields.objet, text) == subject
+
+
+@pytest.mark.parametrize(
+    "text,who",
+    [
+        ("Bonjour\nMonsieur le Président de l'Université Cadi Ayyad, Marrakech et suite", "Monsieur le Président de l'Université Cadi Ayyad, Marrakech"),
+        ("\nMonsieur le Président, voici\n", None),
+        ("\nA\nMADAME LE DIRECTEUR DE L'ENSA MARRAKECH\n", "Madame le Directeur de L'ensa Marrakech"),
+        ("\nA\nLe service du Doyen\n", "Le service du Doyen"),
+    ],
+)
+def test_text_recipients(spark, text, who):
+    from missiva.operators import text_fields
+
+    got = one(spark, text_fields.destinataire, text)
+    assert got == who or (who and got and got.lower() == who.lower())
