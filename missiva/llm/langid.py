@@ -159,12 +159,27 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+def least_by_hash(rows: DataFrame, key: str, counts: dict, most: dict) -> DataFrame:
+    """The most[k] rows (doc_id, key) of each key k with the least hashes of doc_id.
+
+    counts (at least the number of rows of each key) gives a bound for the hashes that four times as many rows are
+    expected under, so that a key's ranking sees few rows however many it has.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    near = [F.when(F.col(key) == k, part < min(1.0, (4 * most[k] + 1000) / max(1, n))) for k, n in counts.items()]
+    if not near:
+        return rows.limit(0)
+    by_hash = Window.partitionBy(key).orderBy("_part", "doc_id")
+    limit = F.coalesce(*(F.when(F.col(key) == k, m) for k, m in most.items()))
+    ranked = rows.withColumn("_part", part).filter(F.coalesce(*near)).withColumn("_n", F.row_number().over(by_hash))
+    return ranked.filter(F.col("_n") <= limit).select(*rows.columns)
+
+
 def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, vocabulary: str | None = None, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, their log priors, piece table) from (doc_id, text, lang); rows without text or lang are left out."""
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     shares = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= max_docs).select("doc_id", "lang").distinct()
+    chosen = least_by_hash(known.select("doc_id", "lang").distinct(), "lang", shares, {x: max_docs for x in shares})
     sample = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most max_docs a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +237,7 @@ def predict(docs: DataFrame, langs: list[str], priors: np.ndarray, table: np.nda
                     logs[len(at) : len(at) + len(new)] = got
                     at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
                 for ws in split:
-                    if not ws or not langs:
+                    if not langs or not any(c.isalpha() for w in ws for c in w):
                         out.append("und")
                         scores.append(0.0)
                         continue

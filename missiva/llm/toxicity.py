@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.llm.langid import held_out
+from missiva.llm.langid import held_out, least_by_hash
 
 #: Common English insults.
 LEXICON = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown")
@@ -181,9 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_c
     long_lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= 40)
     copy = F.coalesce(F.array_min(F.transform(long_lines, lambda x: F.xxhash64(x))), F.xxhash64("text"))  # copies share their least long line
     keys = known.select("doc_id", "toxic", copy.alias("copy")).groupBy("toxic", "copy").agg(F.min("doc_id").alias("doc_id"))
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean)
-    chosen = keys.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= most).select("doc_id", "toxic")
+    counts = {r["toxic"]: r["n"] for r in keys.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    chosen = least_by_hash(keys.select("doc_id", "toxic"), "toxic", counts, {1: max_toxic, 0: max_clean})
     sample = known.join(F.broadcast(chosen), ["doc_id", "toxic"], "left_semi")  # at most max_toxic + max_clean rows
     mined = [s for s in mine_stems(sample.select("text", "toxic")) if s.rstrip("*") not in LEXICON]
     stems = [*LEXICON, *mined]
