@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def cut(text: Column, low: Column | int, high: Column) -> Column:
     return F.substring(text, low + 1, F.greatest(high - low, F.lit(0)))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return sub(text, r"\A\s+|\s+\z", "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missiva.functions import rules as R
-from missiva.functions.patterns import best_name, cut, end, first_name, group, has, mapped, non_empty, rx, start, strip, sub
+from missiva.functions.patterns import best_name, cut, end, first_name, group, has, let, mapped, non_empty, rx, start, strip, sub
 
 FIELDS = ("numero", "date", "objet", "expediteur", "destinataire", "type_document", "etablissement")
 
@@ -85,8 +85,7 @@ def stamp_number(zone: Column) -> Column:
 
 def clean_objet(s: Column) -> Column:
     s = sub(sub(strip(s), r"\A[_\-=:*\s\|\.]+", ""), r"[_\-=\s]+\z", "")
-    s = sub(s, r"\s+", " ")
-    return F.when(F.length(s) > 5, s)
+    return let(sub(s, r"\s+", " "), lambda x: F.when(F.length(x) > 5, x))
 
 
 def objet(t: Column) -> Column:
@@ -156,20 +155,37 @@ def capitalised(s: Column, kept: tuple[str, ...] = ACRONYMS, small: tuple[str, .
         mixed = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
         return F.when(w.isin(*kept), w).when(w.isin(*small), F.lower(w)).otherwise(mixed)
 
-    named = F.array_join(F.transform(F.array_remove(F.split(s, rx(r"\s+")), ""), word), " ")
-    named = F.concat(F.upper(F.substring(named, 1, 1)), F.substring(named, F.lit(2), F.length(named)))
-    return F.when((s == F.upper(s)) & s.rlike(r"\p{Lu}") & (F.length(s) > 10), named).otherwise(s)
+    def named(x: Column) -> Column:
+        joined = F.array_join(F.transform(F.array_remove(F.split(x, rx(r"\s+")), ""), word), " ")
+        return let(joined, lambda j: F.concat(F.upper(F.substring(j, 1, 1)), F.substring(j, F.lit(2), F.length(j))))
+
+    return let(s, lambda x: F.when((x == F.upper(x)) & x.rlike(r"\p{Lu}") & (F.length(x) > 10), named(x)).otherwise(x))
+
+
+def is_arabic(s: Column) -> Column:
+    """Over three Arabic characters, and as many as Latin ones or more."""
+    arabic = F.regexp_count(s, F.lit(r"[\x{0600}-\x{06FF}]"))
+    return (arabic > 3) & (arabic >= F.regexp_count(s, F.lit("[A-Za-zÀ-ÿ]")))
+
+
+# Words that keep their capitals, and that lose all, in the scan profile.
+SCAN_ACRONYMS = ("UCA", "FST", "FSS", "FSJES", "CRI", "EST", "ENSA", "FMP", "FLSH")
+SCAN_SMALL_WORDS = ("LE", "LA", "LES", "DE", "DU", "DES")
 
 
 def clean_destinataire(raw: Column) -> Column:
     s = sub(strip(raw), r"\A[\|\s«»\-,]+", "")
     s = sub(sub(sub(s, r"\n+", ", "), r"\s+", " "), r"[\s,]+\z", "")
-    arabic = F.regexp_count(s, F.lit(r"[\x{0600}-\x{06FF}]"))
-    is_arabic = (arabic > 3) & (arabic >= F.regexp_count(s, F.lit("[A-Za-zÀ-ÿ]")))
-    s = F.when(is_arabic, s).otherwise(strip(sub(sub(s, r"[\x{0600}-\x{06FF}]+", ""), r"\s+", " ")))
-    s = F.get(F.split(s, r"(?Ud)\s+(?:Objet|OBJET|Bordereau|BORDEREAU|الموضوع|ال[مم]و[ضصظط]و[عغ]|Nature|Nombre|Veuillez)\s*[:\s]", 2), F.lit(0))
-    s = F.when(is_arabic, s).otherwise(capitalised(s, ("UCA", "FST", "FSS", "FSJES", "CRI", "EST", "ENSA", "FMP", "FLSH"), ("LE", "LA", "LES", "DE", "DU", "DES")))
-    return F.when(F.length(s) > 5, strip(s))
+    marks = r"\s+(?:Objet|OBJET|Bordereau|BORDEREAU|الموضوع|ال[مم]و[ضصظط]و[عغ]|Nature|Nombre|Veuillez)\s*[:\s]"
+
+    def before_marks(x: Column) -> Column:
+        return F.get(F.split(x, rx(marks), 2), F.lit(0))
+
+    def finished(x: Column) -> Column:
+        latin = before_marks(strip(sub(sub(x, r"[\x{0600}-\x{06FF}]+", ""), r"\s+", " ")))
+        return F.when(is_arabic(x), before_marks(x)).otherwise(capitalised(latin, SCAN_ACRONYMS, SCAN_SMALL_WORDS))
+
+    return let(let(s, finished), lambda x: F.when(F.length(x) > 5, strip(x)))
 
 
 def destinataire(t: Column) -> Column:
