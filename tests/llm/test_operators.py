@@ -325,10 +325,12 @@ def test_jaccard(docs, rows, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("pivots,many", [(8, 1000), (1, 0)])
-def test_jaccard_chains(spark, pivots, many, monkeypatch):
+@pytest.mark.parametrize("pivots,many,ringed", [(8, 1000, 24), (1, 0, 24), (1, 1000, 2)])
+def test_jaccard_chains(spark, pivots, many, ringed, monkeypatch):
     """Chains of near copies, whose ends don't link, beside texts that share a passage only."""
     monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "RINGED", ringed)
+    monkeypatch.setattr(jaccard, "RING_PART", 3)
     monkeypatch.setattr(jaccard, "HEAVY_IN_SAMPLE", 2)
     rng = random.Random(9)
     rows = []
