@@ -11,7 +11,7 @@ from missiva.functions import language, normalise
 from missiva.operators import ocr, records, scan_fields, scoring, text_fields
 from missiva.plans.profiles import scan_fields_scored, scan_profile, text_fields_scored, text_profile
 from missiva.sources import files
-from missiva.sources.letters import COURRIERS_CTE, LETTERS_CTE, courriers, letters
+from missiva.sources.letters import CONFIDENCE_KEYS, COURRIERS_CTE, LETTERS_CTE, courriers, letters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +124,19 @@ def json_row(spark, sf_dir):
     return records.as_json(table.filter("id % 10 < 2"))  # the rows whose map is null or empty, which the public form shows alike
 
 
+_MAP_JSON = ", ',', ".join(f"'\"{name}\":', (id * {k + 3}) % 101" for k, name in enumerate(CONFIDENCE_KEYS))
+
+
+@query(
+    f"SELECT id, concat('{{\"id\":', id, ',\"status\":\"', status, '\",\"date\":null,\"confidence\":{{', CASE WHEN id % 10 >= 2 THEN concat({_MAP_JSON}) ELSE '' END, '}}}}') AS json"
+    " FROM courriers",
+    COURRIERS_CTE,
+)
+def json_all_rows(spark, sf_dir):
+    """json_row over the whole table, filled maps too."""
+    return records.as_json(courriers(spark, sf_dir).select("id", "status", "date_courrier", "confidence"))
+
+
 @query("SELECT id, CAST(NULL AS VARCHAR) AS etablissement FROM courriers", COURRIERS_CTE)
 def add_missing_column(spark, sf_dir):
     return records.with_column_if_missing(courriers(spark, sf_dir).select("id"), "etablissement")
