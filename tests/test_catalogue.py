@@ -3,7 +3,6 @@
 from collections import Counter
 
 import duckdb
-import pytest
 
 from missiva.plans.catalogue import ORACLES, QUERIES
 
@@ -23,9 +22,16 @@ def same_as_sql(spark, name):
     return rows
 
 
-@pytest.mark.parametrize("name", ["json_all_rows"])
-def test_whole_table(spark, name):
-    rows = same_as_sql(spark, name)
+def test_all_letters_have_a_text_profile(spark):
+    rows = same_as_sql(spark, "text_profile_all_letters")
+    assert len(rows) == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    by_id = {r.id: r for r in rows}
+    assert by_id[3].numero == "103/1003" and by_id[3].etablissement == "La Présidence - Marrakech" and by_id[3].langue == "fr"
+    assert by_id[7].type_document == "note" and by_id[15].type_document == "bordereau"
+
+
+def test_all_records_have_json(spark):
+    rows = same_as_sql(spark, "json_all_rows")
     assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
     by_id = {r.id: r.json for r in rows}
     assert by_id[2].endswith('"confidence":{"numero":6,"date":8,"objet":10,"expediteur":12,"destinataire":14,"type_document":16,"etablissement":18}}')
