@@ -4,7 +4,8 @@
 * Pivots are a hash sample of at most ``max_pivots`` vectors. Data and queries belong to their nearest pivot; a region's
   summary is its row count and its largest distance to the pivot (one row a pivot reaches the driver).
 * For a query q, a row of the region with pivot c and radius r scores at least q.c - |q| r and at most q.c + |q| r. The
-  lower bounds and counts give a score that the k-th best can't be under; regions whose upper bound is lower are left out.
+  lower bounds and counts give a score that the k-th best can't be under, the query's own rows apart; regions whose upper
+  bound is lower are left out.
 * Regions, laid in a chain of near pivots, form cells of about ``block`` rows; a region above that is split by a hash of
   vec_id, so that no group is unbounded. A query goes only to the cells that its bounds ask for, in blocks of ``block``
   queries. There are 1 / every as many queries as rows, so it is they that are replicated, and data rows only once for
@@ -135,7 +136,7 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
             slack = 1e-6 * (1 + np.abs(middle))
             low, high = middle - spread - slack, middle + spread + slack
             order = np.argsort(-low, axis=1)
-            enough = np.cumsum(count[live][order], axis=1) > k  # one of them can be the query itself
+            enough = np.cumsum(count[live][order], axis=1) >= k + df["own"].to_numpy()[:, None]  # a query's own rows are no candidates
             at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(live) - 1)
             bound = np.where(enough.any(axis=1), np.take_along_axis(low, order, 1)[np.arange(len(x)), at], -np.inf)
             out = []
@@ -144,7 +145,7 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
                     out += [(vec_id, q, int(c), part) for part in range(cells_parts[int(c)])]
             yield pd.DataFrame(out, columns=["query_id", "q", "cell", "part"])
 
-    queries = placed.filter(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
+    queries = placed.filter(is_query).groupBy("vec_id").agg(F.min("q").alias("q"), F.count("*").alias("own"))
     asks = queries.mapInPandas(ask, "query_id long, q array<long>, cell long, part long").withColumn(
         "qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))
     )

@@ -210,6 +210,26 @@ def test_top_k(spark):
     assert knn.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_a_repeated_query(spark):
+    """Copies of a query fill the region with the best bound; its neighbours are in other regions."""
+    rng = np.random.default_rng(2)
+    named = spark.range(0, 100_000, 100).select("id", F.xxhash64("id", F.array(*(F.lit(x).cast("long") for x in (10240, 0, 0, 0)))).alias("h"))
+    query = named.orderBy("h").first().id  # its rows are among the pivots
+    vectors = [(query, [10.0, 0.0, 0.0, 0.0])] * 12
+    for c, middle in enumerate(([9.0, 1.0, 0.0, 0.0], [6.0, 0.0, 5.0, 0.0], [0.0, -7.0, 0.0, 3.0], [-8.0, 0.0, 0.0, 0.0])):
+        vectors += [(200_001 + 225 * c + i, [float(x) for x in middle + rng.normal(size=4) * 0.05]) for i in range(225)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    ids, q = zip(*((i, [int(x) for x in np.floor(1024 * np.float32(v).astype(float))]) for i, v in vectors), strict=True)
+    asked = {i: x for i, x in zip(ids, q, strict=True) if i % 100 == 0}
+    for pivots in (4, 30):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(df, max_pivots=pivots, block=100).collect())
+        want = []
+        for query, a in asked.items():
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in zip(ids, q, strict=True) if i != query)[:10]
+            want += [(query, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+        assert got == sorted(want)
+
+
 def test_warc(spark):
     pages = [(i, f"http://a.example/{i}?x=1 2", f"<p>{'é' * (i % 7)}{i % 5}</p>" * (i % 50 + 1), "clash") for i in range(300)]
     pages += [(500, None, None, ""), (501, "", "", ""), (7, pages[7][1], pages[7][2], "clash"), (None, "http://b.example", "only", "")]
