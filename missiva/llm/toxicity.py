@@ -9,6 +9,9 @@
    the votes' residuals the correlations of voters; correlated voters count less.
 4. A logistic classifier is trained on the posterior labels; its features are the texts' hits and patterns.
 
+The bounds cut the classes by different rates. In 3 and 4 each sampled row therefore counts as often as its class has
+groups of copies for each one sampled, so that the share of toxic rows is that of the table at every size.
+
 Scoring reads whole texts: words are looked up in a bounded table of each Python worker.
 
 Defined results: a null or empty text has no words and gets the score of no hits; without labels of both kinds only the
@@ -133,41 +136,44 @@ def votes(x: np.ndarray, n_fixed: int, n_stems: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def label_model(v: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row, each voter's accuracy and the voters' correlations, from the votes alone."""
+def label_model(v: np.ndarray, rounds: int = 30, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic for each row, each voter's accuracy and the voters' correlations, from the votes alone; each row counts ``times``."""
     n, m = v.shape
+    times = np.ones(n) if times is None else times
     p = np.where(v.sum(axis=1) > 0, 0.9, 0.1)
     weight, correlation = np.ones(m), np.zeros((m, m))
     states = np.stack([v == s for s in (-1, 0, 1)], axis=2)  # row, voter, state
     for step in range(rounds):
-        prior = np.clip(p.mean(), 0.01, 0.5)
-        theta = [(np.einsum("i,ijs->js", q, states) + 0.5) / (q.sum() + 1.5) for q in (1 - p, p)]
+        prior = np.clip(np.average(p, weights=times), 0.01, 0.5)
+        theta = [(np.einsum("i,ijs->js", q, states) + 0.5) / (q.sum() + 1.5) for q in (times * (1 - p), times * p)]
         gain = np.log(theta[1]) - np.log(theta[0])
         if step == rounds // 2:
             # what two voters share beyond what the label explains
             signs = v - ((1 - p)[:, None] * (theta[0][:, 2] - theta[0][:, 0]) + p[:, None] * (theta[1][:, 2] - theta[1][:, 0]))
-            spread = signs.std(axis=0)
-            covariance = (signs - signs.mean(axis=0)).T @ (signs - signs.mean(axis=0)) / n
+            off = signs - np.average(signs, axis=0, weights=times)
+            covariance = (off * times[:, None]).T @ off / times.sum()
+            spread = np.sqrt(np.diag(covariance))
             correlation = np.where(np.outer(spread, spread) > 1e-9, covariance / np.maximum(np.outer(spread, spread), 1e-9), 0)
             np.fill_diagonal(correlation, 1)
             weight = 1 / np.maximum(1, np.where(np.abs(correlation) > 0.3, np.abs(correlation), 0).sum(axis=1))
         logit = np.log(prior / (1 - prior)) + np.einsum("ijs,js,j->i", states, gain, weight)
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    cast = v != 0
+    cast = (v != 0) * times[:, None]
     right = np.where(v > 0, p[:, None], 1 - p[:, None])
     accuracy = (right * cast).sum(axis=0) / np.maximum(cast.sum(axis=0), 1)
     return p, accuracy, correlation
 
 
-def fit_logistic(x: np.ndarray, p: np.ndarray, l2: float = 0.1, rounds: int = 40) -> np.ndarray:
-    """Newton's method on soft labels; the last weight is the intercept."""
+def fit_logistic(x: np.ndarray, p: np.ndarray, l2: float = 0.1, rounds: int = 40, times: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method on soft labels, each row counting ``times``; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    times = np.ones(len(x)) if times is None else times
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (q - p) + penalty * w)
+        step = np.linalg.solve((x * (times * (q * (1 - q) + 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (times * (q - p)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -197,8 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_c
         return {"stems": stems, "weights": np.append(np.zeros(len(stems) + N_PATTERNS), -3.0), "accuracy": np.zeros(0), "correlation": np.zeros((0, 0)), "posterior": np.zeros(0)}
     x = np.stack(rows["x"].to_list())
     v = votes(x, len(LEXICON), len(stems))
-    p, accuracy, correlation = label_model(v)
-    return {"stems": stems, "weights": fit_logistic(x, p), "accuracy": accuracy, "correlation": correlation, "posterior": p}
+    sizes = {1: max_toxic, 0: max_clean}
+    times = rows["toxic"].map({k: n / min(n, sizes[k]) for k, n in counts.items()}).to_numpy(float)
+    p, accuracy, correlation = label_model(v, times=times)
+    return {"stems": stems, "weights": fit_logistic(x, p, times=times), "accuracy": accuracy, "correlation": correlation, "posterior": p}
 
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

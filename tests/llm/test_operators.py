@@ -315,6 +315,39 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), table.limit(0)).count() == 0
 
 
+def test_toxicity_is_the_same_above_and_below_the_bounds(spark):
+    """Scores learned from all clean rows and from a bounded sample of them, on the same texts."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(2400):
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)]
+        toxic = i % 10 == 0
+        for _ in range(rng.choice([1, 1, 2, 3]) if toxic else rng.random() < 0.1):
+            words[rng.randrange(30)] = rng.choice(["idiot", "moron", "stupid"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    logits = []
+    for most in (6000, 400):
+        model = toxicity.fit(docs, table, max_clean=most)
+        assert model["stems"] == list(toxicity.LEXICON)
+        hits, n = toxicity.Hits(model["stems"]), len(model["stems"])
+        texts = [t for _, t in rows if any(hits[w] for w in t.split())]
+        logits.append(np.array([toxicity.features(t, hits, n) @ model["weights"][:-1] + model["weights"][-1] for t in texts]))
+    assert abs((logits[1] - logits[0]).mean()) < 0.3
+
+
+def test_counting_rows_is_repeating_them():
+    rng = np.random.default_rng(8)
+    x = np.abs(rng.normal(size=(80, 6 + toxicity.N_PATTERNS))) * (rng.random((80, 6 + toxicity.N_PATTERNS)) < 0.4)
+    v, times = toxicity.votes(x, 3, 6), np.where(np.arange(80) % 3 == 0, 1, 4)
+    many = np.repeat(np.arange(80), times)
+    counted, repeated = toxicity.label_model(v, times=times.astype(float)), toxicity.label_model(v[many])
+    assert np.allclose(counted[0][many], repeated[0]) and all(np.allclose(a, b) for a, b in zip(counted[1:], repeated[1:], strict=True))
+    assert np.allclose(toxicity.fit_logistic(x, counted[0], times=times.astype(float)), toxicity.fit_logistic(x[many], repeated[0]), atol=1e-4)
+
+
 def brute_components(rows):
     def shingles(text):
         ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
