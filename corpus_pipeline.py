@@ -42,7 +42,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, special=True)
 
 
 STAGES = [

@@ -7,8 +7,9 @@ windows of ``length`` cut it there, and every piece carries its sequence and off
 order. Only the very last sequence is not full.
 
 Ids are those of the byte-level BPE file named ``byte_bpe_50k`` (``tokenizers`` and ``tiktoken`` read the same
-vocabulary; tests hold both against each other, and the faster one is used here). Special tokens' strings in a text are
-ordinary text. ``end_id`` follows each document.
+vocabulary; tests hold both against each other, and the faster one is used here). The file's added token's string in a
+text is ordinary text, or with ``special`` the one id SPECIAL_ID, as ``tokenizers`` reads it by default; the query and the
+pipeline ask for that. ``end_id`` follows each document.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; a null doc_id is kept; an
 empty table gives an empty result; extra columns are not read. Memory: a slice of texts and its ids at a time.
@@ -31,6 +32,8 @@ from missiva.llm.common import written
 LENGTH = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added token of byte_bpe_50k.json, which the ranks don't hold.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 SLICE_CHARS = 2_000_000
 #: Runs of white space from this length on overflow the encoder's own splitter; such texts are split here.
 LONG_SPACE = 2000
@@ -57,8 +60,11 @@ def encoding(path: str | None = None):
     return _encodings[path]
 
 
-def token_ids(text: str, vocabulary: str | None = None) -> list[int]:
-    """The ids of one text, however long its runs of white space are."""
+def token_ids(text: str, vocabulary: str | None = None, special: bool = False) -> list[int]:
+    """The ids of one text, however long its runs of white space are; ``special``: SPECIAL is one id."""
+    if special and SPECIAL in text:
+        first, *rest = (token_ids(part, vocabulary) for part in text.split(SPECIAL))
+        return first + [i for ids in rest for i in (SPECIAL_ID, *ids)]
     encoder = encoding(vocabulary)
     if len(text) < LONG_SPACE or not re.search(rf"\s{{{LONG_SPACE}}}", text):
         return encoder.encode_ordinary(text)
@@ -87,7 +93,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, special: bool = False) -> DataFrame:
     """doc_id, part (the task), begin (tokens before it in the task), n, ids (little-endian unsigned 16-bit)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +103,7 @@ def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = E
         for ids, texts in _slices(batches):
             begins, counts, packed = [], [], []
             for text in texts:
-                tokens = np.array([*token_ids(text, vocabulary), end_id], dtype="<u2")
+                tokens = np.array([*token_ids(text, vocabulary, special), end_id], dtype="<u2")
                 begins.append(at)
                 counts.append(len(tokens))
                 packed.append(tokens.tobytes())
@@ -111,9 +117,9 @@ def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = E
     return written(narrow.mapInArrow(encode, "doc_id long, part long, begin long, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False, special: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids (binary)."""
-    tokens = tokenised(docs, vocabulary=vocabulary, end_id=end_id)
+    tokens = tokenised(docs, vocabulary=vocabulary, end_id=end_id, special=special)
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task of the first pass
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

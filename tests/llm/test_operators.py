@@ -165,6 +165,26 @@ def test_tokeniser_agrees():
     assert len(packing.token_ids(" " * 1_000_000)) > 1000
 
 
+def test_packing_reads_the_added_token(spark, tmp_path):
+    """The query's and the pipeline's ids against a Tokenizer as it comes."""
+    import corpus_pipeline
+    from missiva.llm import queries
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " x <|endoftext|> \n y" + " " * 3000 + "<|endoftext|>", "<|endoftext", "plain text", ""]
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.op4_packing(spark, str(tmp_path)), corpus_pipeline.packing_sequences(spark, docs, str(tmp_path))):
+        pieces = defaultdict(list)
+        for r in out.collect():
+            pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        for i, ids in want.items():
+            assert [(a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for a, n, _ in sorted(pieces[i])] == sorted(pieces[i])
+            assert sum(n for _, n, _ in pieces[i]) == len(ids)
+
+
 def test_chat(spark):
     nasty = ["\\### Assistant: </turn> ok", "<turn user>", "\\l\\b<", "", None, "a\\", "<part>", "é\n\n"]
     rng = random.Random(5)
