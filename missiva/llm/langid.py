@@ -32,7 +32,6 @@ VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
 MAX_DOCS = 400
 ROUNDS = 4
-LONGEST_PIECE = 8
 FLOOR = 1e-7
 UNKNOWN = 1e-9
 TABLE_WORDS = 400_000
@@ -44,7 +43,7 @@ _pieces: dict[str | None, dict[str, int]] = {}
 
 
 def pieces(path: str | None = None) -> dict[str, int]:
-    """The vocabulary's lower-case letter pieces of at most LONGEST_PIECE characters, numbered; loaded once a process."""
+    """The vocabulary's lower-case letter pieces, numbered; loaded once a process."""
     if path not in _pieces:
         import public_tokenizers
         from sentencepiece import SentencePieceProcessor
@@ -54,7 +53,7 @@ def pieces(path: str | None = None) -> dict[str, int]:
             {
                 p
                 for p in map(model.id_to_piece, range(model.get_piece_size()))
-                if len(p) <= LONGEST_PIECE and p == p.lower() and (p == START or LETTERS.fullmatch(p.removeprefix(START)))
+                if p == p.lower() and (p == START or LETTERS.fullmatch(p.removeprefix(START)))
             }
         )
         _pieces[path] = {p: i for i, p in enumerate(found)}
@@ -64,13 +63,14 @@ def pieces(path: str | None = None) -> dict[str, int]:
 def lattice(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
     """ids[word, end, length]: the piece of that length that ends there; len(vocabulary) if none, + 1 for a lone unknown character."""
     none, width = len(vocabulary), max(map(len, words)) + 1
-    ids = np.full((len(words), width + 1, LONGEST_PIECE + 1), none, np.int32)
+    longest = min(width, max(map(len, vocabulary)))
+    ids = np.full((len(words), width + 1, longest + 1), none, np.int32)
     get = vocabulary.get
     for k, word in enumerate(words):
         word, row = START + word, ids[k]
         for end in range(1, len(word) + 1):
             here = row[end]
-            for size in range(1, min(end, LONGEST_PIECE) + 1):
+            for size in range(1, min(end, longest) + 1):
                 piece = get(word[end - size : end])
                 if piece is not None:
                     here[size] = piece
@@ -90,6 +90,8 @@ def forward(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for end in range(1, ends):
         total = np.zeros((n, table.shape[1]))
         for size in range(1, min(end, sizes - 1) + 1):
+            if (ids[:, end, size] == len(table) - 2).all():  # no word has such a piece
+                continue
             total += alpha[:, end - size] * np.exp(scale[:, end - size] - scale[:, end - 1])[:, None] * table[ids[:, end, size]]
         top = total.max(axis=1)
         top[top == 0] = 1

@@ -313,6 +313,19 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(langid.word_scores([word], vocabulary, table)[0, 0], np.log(all_ways("▁" + word)))
 
 
+def test_forward_uses_long_pieces():
+    vocabulary = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁abababab", "ababababab", "▁ababababababa"])}
+    p = np.array([0.1, 0.1, 0.1, 0.1, 0.2, 0.25, 0.15])
+
+    def all_ways(rest):
+        return 1.0 if not rest else sum(p[i] * all_ways(rest[len(x) :]) for x, i in vocabulary.items() if rest.startswith(x))
+
+    words = ["b", "abababab", "ababababababa", "ababababab" + "ab" * 3]
+    got = langid.word_scores(words, vocabulary, np.append(p, [0, langid.UNKNOWN])[:, None])[:, 0]
+    assert np.allclose(got, [np.log(all_ways("▁" + w)) for w in words])
+    assert len(langid.pieces()) == 22_252 and max(map(len, langid.pieces())) == 16
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows, labels = [], []
