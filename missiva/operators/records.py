@@ -77,6 +77,18 @@ def update(df: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.withColumns(changed).select(*df.columns)
 
 
+def pending(df: DataFrame) -> DataFrame:
+    """New rows in SCHEMA's columns with status pending; ``date`` is date_courrier, columns that df hasn't are null."""
+    given = {f.name: F.col(f.name) for f in SCHEMA if f.name in df.columns} | ({"date_courrier": F.col("date")} if "date" in df.columns else {})
+    given |= {"status": F.lit("pending"), "created_at": F.current_timestamp(), "validated_by": F.lit(None), "updated_at": F.lit(None)}
+    return df.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA))
+
+
+def insert(df: DataFrame, path: str) -> None:
+    """Appends new rows, pending, to the table at ``path``."""
+    pending(df).write.mode("append").parquet(path)
+
+
 def delete(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("id").distinct(), "id", "left_anti")
 

@@ -201,3 +201,22 @@ def test_text_recipients(spark, text, who):
 
     got = one(spark, text_fields.destinataire, text)
     assert got == who or (who and got and got.lower() == who.lower())
+
+
+def test_insert_pending_rows(spark, tmp_path):
+    from missiva.plans.profiles import scan_records, text_records
+
+    path = str(tmp_path / "records")
+    scans = spark.createDataFrame(
+        [(1, "a.png", "in/a.png", "image", LETTER, 12, "tesseract")],
+        "id long, filename string, file_path string, file_type string, texte_complet string, processing_time_ms int, ocr_engine_used string",
+    )
+    records.insert(scan_records(scans), path)
+    records.insert(text_records(spark.createDataFrame([(2, "b.pdf", TEXT_LETTER), (3, "c.pdf", None)], "id long, filename string, texte_complet string")), path)
+    table = spark.read.parquet(path)
+    assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in records.SCHEMA]
+    a, b, c = table.orderBy("id").collect()
+    assert {r.status for r in (a, b, c)} == {"pending"} and all(r.created_at and r.validated_by is None and r.updated_at is None for r in (a, b, c))
+    assert (a.numero, a.date_courrier, a.processing_time_ms, a.ocr_engine_used, a.confidence["numero"]) == ("221/1234", "12 mars 2024", 12, "tesseract", 70)
+    assert (b.numero, b.date_courrier, b.file_type, b.processing_time_ms, b.ocr_engine_used) == ("830/26", "27 janvier 2022", "pdf", 0, "pdf.js (client)")
+    assert len(b.confidence) == 7 and b.texte_complet == TEXT_LETTER and c.numero is None
