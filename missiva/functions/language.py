@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 ARABIC, ARABIC_WIDE, LATIN = r"[\x{0600}-\x{06FF}]", r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]", "[A-Za-zÀ-ÿ]"
 
 
-def _counts(t: Column, arabic: str) -> tuple[Column, Column]:
-    return F.regexp_count(t, F.lit(arabic)), F.regexp_count(t, F.lit(LATIN))
+def script_counts(t: Column, arabic: str) -> tuple[Column, Column]:
+    """Characters of either script: what is left when the others are taken out (regexp_count would build an array of matches)."""
+    return tuple(F.length(F.regexp_replace(t, f"[^{script[1:-1]}]+", "")) for script in (arabic, LATIN))
 
 
 def language_scan(t: Column) -> Column:
-    a, lat = _counts(t, ARABIC)
+    a, lat = script_counts(t, ARABIC)
     ratio = a / (a + lat)
     return F.when(a + lat < 10, "unknown").when(ratio > 0.7, "ar").when(ratio < 0.2, "fr").otherwise("fr+ar")
 
 
 def language_text(t: Column) -> Column:
-    a, lat = _counts(t, ARABIC_WIDE)
+    a, lat = script_counts(t, ARABIC_WIDE)
     return F.when(a > lat, "ar").when((a > 0) & (a > lat * 0.2), "fr+ar").otherwise("fr")
 
 
 def language_zones(t: Column) -> Column:
     """struct(language, arabic_ratio, specialist)."""
-    a, lat = _counts(t, ARABIC_WIDE)
+    a, lat = script_counts(t, ARABIC_WIDE)
     ratio = F.when(a + lat == 0, 0.0).otherwise(a / (a + lat))
     return F.struct(
         F.when(ratio > 0.6, "ar").when(ratio > 0.15, "fr+ar").otherwise("fr").alias("language"),
@@ -35,6 +36,6 @@ def language_zones(t: Column) -> Column:
 
 
 def ocr_mode(t: Column) -> Column:
-    a, lat = _counts(t, ARABIC)
+    a, lat = script_counts(t, ARABIC)
     ratio = a / (a + lat)
     return F.when(a + lat < 20, "tesseract").when(ratio < 0.15, "tesseract").when(ratio > 0.6, "easyocr").otherwise("hybrid")

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from missiva.functions.patterns import rx, sub
+from missiva.functions.patterns import has_arabic, sub
 
 # Digits, quotes and dashes.
 ARABIC_DIGITS, PERSIAN_DIGITS, LATIN_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
@@ -35,12 +35,24 @@ MONTH_ALTERNATIVES = (
 )
 
 
+#: Characters that composition leaves alone wherever they stand: all below U+0300, Arabic letters without marks, common
+#: punctuation. A text of these alone is composed already.
+COMPOSED = (
+    r"\x{0}-\x{02FF}\x{0600}-\x{060F}\x{061B}-\x{064A}\x{0660}-\x{066F}\x{0671}-\x{06D5}\x{06EE}-\x{06FF}"
+    r"\x{2010}-\x{2027}\x{20AC}\x{2116}\x{2122}"
+)
+
+
 @F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode's canonical composition, which Spark has no function for."""
+def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def nfc(t: Column) -> Column:
+    """Unicode's canonical composition, which Spark has no function for. Only texts that may need it are sent to Python."""
+    return F.coalesce(_nfc(F.when(t.rlike(f"[^{COMPOSED}]"), t)), t)
+
+
 def quotes_dashes(t: Column) -> Column:
     return sub(F.translate(t, QUOTES, PLAIN_QUOTES), DASHES, "-")
 
@@ -57,6 +69,10 @@ def unflatten(t: Column) -> Column:
 
 
 def years(t: Column) -> Column:
+    return F.when(t.rlike("20[6-9]6|[6-9]026|420[2-9]"), _years(t)).otherwise(t)
+
+
+def _years(t: Column) -> Column:
     t = sub(t, r"\b20[6-9]6\b", "2026")
     t = sub(t, r"\b[6-9]026\b", "2026")
     return sub(t, r"(?<![\d])4(20[2-9]\d)\b", "$1")
@@ -64,6 +80,10 @@ def years(t: Column) -> Column:
 
 def marks(t: Column) -> Column:
     """Tatweel and vowel marks go, the basmala ligature is spelt out, Arabic punctuation is spaced."""
+    return F.when(t.rlike(r"[\x{0600}-\x{06FF}\x{FDFD}]"), _marks(t)).otherwise(t)
+
+
+def _marks(t: Column) -> Column:
     t = sub(sub(t, "ـ+", ""), HARAKAT, "")
     t = F.replace(t, F.lit("﷽"), F.lit("بسم الله الرحمن الرحيم"))
     for mark in "،؛؟":
@@ -99,6 +119,10 @@ def french_scan(t: Column) -> Column:
 
 
 def arabic_text(t: Column) -> Column:
+    return F.when(has_arabic(t), _arabic_text(t)).otherwise(t)
+
+
+def _arabic_text(t: Column) -> Column:
     t = sub(t, r"القاض[ى]\s+عياض", "القاضي عياض")
     t = sub(sub(t, r"(?<=\s)إلي(?=\s)", "إلى"), r"(?<=\s)علي(?=\s)", "على")
     for wrong, right in ENDINGS_TEXT:
@@ -111,6 +135,10 @@ def arabic_text(t: Column) -> Column:
 
 
 def arabic_scan(t: Column) -> Column:
+    return F.when(has_arabic(t), _arabic_scan(t)).otherwise(t)
+
+
+def _arabic_scan(t: Column) -> Column:
     for wrong, right in ENDINGS_SCAN:
         t = sub(t, rf"\b{wrong}\b", right)
     t = sub(t, r"القاض[ى]\s+عياض", "القاضي عياض")
@@ -135,8 +163,7 @@ def normalise_text(t: Column) -> Column:
 
 def normalise_scan(t: Column, compose: bool = True) -> Column:
     """The scan profile; compose=False leaves out NFC, the one step that needs Python, for texts known to be composed."""
-    ascii_only = ~t.rlike(rx(r"[^\x00-\x7F]"))
-    t = F.when(ascii_only, t).otherwise(nfc(t)) if compose else t
+    t = nfc(t) if compose else t
     for step in (quotes_dashes, digits, unflatten, french_scan, arabic_scan, stamp_days, spaces, noise_lines):
         t = step(t)
     return t

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -26,14 +27,44 @@ def sub(text: Column, pattern: str, to: str, flags: str = "") -> Column:
     return F.regexp_replace(text, rx(pattern, flags), to)
 
 
+def before(text: Column, pattern: str, flags: str = "") -> Column:
+    """The text up to the first match; all of it without one. (split would compile its pattern for every row.)"""
+    return sub(text, rf"(?:{pattern})(?s:.*)\z", "", flags)
+
+
+def after(text: Column, pattern: str, flags: str = "") -> Column:
+    """The text past the first match; all of it without one."""
+    return sub(text, rf"\A(?s:.*?)(?:{pattern})", "", flags)
+
+
 def start(text: Column, pattern: str, flags: str = "") -> Column:
     """Characters before the first match; the whole length without one."""
-    return F.length(F.get(F.split(text, rx(pattern, flags), 2), F.lit(0)))
+    return F.length(before(text, pattern, flags))
 
 
 def end(text: Column, pattern: str, flags: str = "") -> Column:
     """Characters up to the end of the first match; null without one."""
-    return F.when(has(text, pattern, flags), start(text, pattern, flags) + F.length(F.regexp_extract(text, rx(pattern, flags), 0)))
+    return F.when(has(text, pattern, flags), F.length(text) - F.length(after(text, pattern, flags)))
+
+
+def either(patterns: tuple[str, ...]) -> str:
+    """One pattern, whose first match begins where the earliest match of any of the patterns does."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def groups(text: Column, pattern: str, n: int, flags: str = "") -> Column:
+    """Groups 1 to n of the first match as an array, from two runs of the pattern; null without a match."""
+    between = "\x01"  # no letter holds it
+    all_ = sub(text, rf"\A(?s:.*?)(?:{pattern})(?s:.*)\z", between.join(f"${i}" for i in range(1, n + 1)), flags)
+    return F.when(has(text, pattern, flags), F.split(all_, between, -1))
+
+
+#: Arabic letters and marks; without one, no Arabic rule can match.
+ARABIC_BLOCK = r"[\x{0600}-\x{06FF}]"
+
+
+def has_arabic(text: Column) -> Column:
+    return F.coalesce(text.rlike(ARABIC_BLOCK), F.lit(False))
 
 
 def cut(text: Column, low: Column | int, high: Column) -> Column:
@@ -71,15 +102,25 @@ def matches(text: Column, pattern: str, flags: str = "") -> Column:
     )
 
 
-def first_name(text: Column, table: list[tuple[str, str]], flags: str = "") -> Column:
-    """The name of the first row of (pattern, name) that occurs."""
-    return F.coalesce(*(F.when(has(text, p, flags), F.lit(name)) for p, name in table))
+def _only_arabic(pattern: str) -> bool:
+    """Whether each alternative of a pattern from a rule table asks for an Arabic letter at its very start (anchors and blanks apart)."""
+    return all(re.match(r"(?:\^|\\b|\\s\*|\(\?:)*[\u0600-\u06FF]", x) for x in pattern.split("|"))
+
+
+def _may_occur(text: Column, pattern: str, flags: str, arabic: Column | None) -> Column:
+    found = has(text, pattern, flags)
+    return found if arabic is None or not _only_arabic(pattern) else arabic & found
+
+
+def first_name(text: Column, table: list[tuple[str, str]], flags: str = "", arabic: Column | None = None) -> Column:
+    """The name of the first row of (pattern, name) that occurs; ``arabic``: whether the text holds Arabic letters, where that is known."""
+    return F.coalesce(*(F.when(_may_occur(text, p, flags, arabic), F.lit(name)) for p, name in table))
 
 
-def best_name(text: Column, table: list[tuple[str, str, int]], flags: str = "") -> Column:
+def best_name(text: Column, table: list[tuple[str, str, int]], flags: str = "", arabic: Column | None = None) -> Column:
     """The name with the highest priority of (pattern, name, priority); the earliest row wins ties."""
-    rows = [F.when(has(text, p, flags), F.struct(F.lit(rank).alias("rank"), F.lit(-i).alias("place"), F.lit(name).alias("name"))) for i, (p, name, rank) in enumerate(table)]
-    return F.array_max(F.array(*rows))["name"]
+    order = sorted(range(len(table)), key=lambda i: (-table[i][2], i))
+    return F.coalesce(*(F.when(_may_occur(text, table[i][0], flags, arabic), F.lit(table[i][1])) for i in order))
 
 
 def mapped(key: Column, table: dict[str, str]) -> Column:

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missiva.functions import rules as R
-from missiva.functions.patterns import best_name, cut, end, first_name, group, has, let, mapped, non_empty, rx, start, strip, sub
+from missiva.functions.language import ARABIC, script_counts
+from missiva.functions.patterns import after, before, best_name, cut, either, end, first_name, group, groups, has, has_arabic, let, mapped, non_empty, rx, start, strip, sub
 
 FIELDS = ("numero", "date", "objet", "expediteur", "destinataire", "type_document", "etablissement")
 
 
 def header(t: Column, ends: tuple[str, ...] = R.SCAN_HEADER_ENDS) -> Column:
     """The text up to 200 characters past the first marker, between 800 and 3000 characters."""
-    limit = F.least(F.length(t), *(start(t, p) for p in ends))
+    limit = start(t, either(ends))
     return F.substring(t, F.lit(1), F.greatest(F.lit(800), F.least(limit + 200, F.lit(3000))))
 
 
 def sender_zone(t: Column) -> Column:
-    return F.when(has(t, R.RECIPIENT_START), F.get(F.split(t, "(?Ud)" + R.RECIPIENT_START, 2), F.lit(0))).otherwise(F.substring(t, 1, 1500))
+    return F.when(has(t, R.RECIPIENT_START), before(t, R.RECIPIENT_START)).otherwise(F.substring(t, 1, 1500))
 
 
 def stamp_zone(t: Column) -> Column:
@@ -28,7 +30,8 @@ def stamp_zone(t: Column) -> Column:
 
     def around(p: str) -> Column:
         zone = cut(t, start(t, p, "i") - 50, end(t, p, "i") + 400)
-        return F.when(has(t, p, "i") & reduce(lambda a, b: a | b, (has(zone, m, "i") for m in R.SCAN_STAMP_MARKS)), zone)
+        marked = let(zone, lambda z: F.when(reduce(lambda a, b: a | b, (has(z, m, "i") for m in R.SCAN_STAMP_MARKS)), z))
+        return F.when(has(t, p, "i"), marked)
 
     return F.coalesce(*map(around, R.SCAN_STAMPS))
 
@@ -41,16 +44,22 @@ def date_in(t: Column) -> Column:
     stamp = r"(\d{1,2})\s+([A-ZÉÈ]{3,4})\.?\s+(\d{4})"
     numeric = r"\b(\d{1,2})[\/\-\.](\d{1,2})[\/\-\.](\d{4})\b"
 
-    def said(pattern: str, month: Column) -> Column:
-        day, year = group(t, pattern, 1), group(t, pattern, 3)
-        return F.when(month.isNotNull(), F.concat(F.lpad(day, 2, "0"), F.lit(" "), month, F.lit(" "), year))
+    def said(pattern: str, month: Callable[[Column, Column], Column]) -> Column:
+        def sentence(g: Column) -> Column:
+            day, name, year = (F.get(g, F.lit(i)) for i in range(3))
+            named = month(name, year)
+            return F.when(named.isNotNull(), F.concat(F.lpad(day, 2, "0"), F.lit(" "), named, F.lit(" "), year))
+
+        return let(groups(t, pattern, 3), sentence)
+
+    def by_number(number: Column, year: Column) -> Column:
+        fits = number.cast("int").between(1, 12) & year.cast("int").between(2020, 2030)
+        return F.when(fits, F.get(F.array(*map(F.lit, R.MONTHS)), number.cast("int") - 1))
 
-    number, year = group(t, numeric, 2).cast("int"), group(t, numeric, 3).cast("int")
-    by_number = F.when(number.between(1, 12) & year.between(2020, 2030), F.get(F.array(*map(F.lit, R.MONTHS)), number - 1))
     return F.coalesce(
-        said(arabic, mapped(group(t, arabic, 2), R.ARABIC_MONTHS)),
-        said(french, mapped(F.lower(group(t, french, 2)), R.MONTH_NAMES)),
-        said(stamp, mapped(F.upper(group(t, stamp, 2)), R.MONTH_STAMPS)),
+        F.when(has_arabic(t), said(arabic, lambda name, year: mapped(name, R.ARABIC_MONTHS))),
+        said(french, lambda name, year: mapped(F.lower(name), R.MONTH_NAMES)),
+        said(stamp, lambda name, year: mapped(F.upper(name), R.MONTH_STAMPS)),
         said(numeric, by_number),
     )
 
@@ -75,8 +84,7 @@ def numero(t: Column, head: Column) -> Column:
 
 def _joined(t: Column, pattern: str, n: int) -> Column:
     """Groups 1 to n with slashes between; null without a match."""
-    parts = [group(t, pattern, i) for i in range(1, n + 1)]
-    return reduce(lambda a, b: F.concat(a, F.lit("/"), b), parts)
+    return F.array_join(groups(t, pattern, n), "/")
 
 
 def stamp_number(zone: Column) -> Column:
@@ -110,7 +118,8 @@ def type_document(t: Column) -> Column:
 
 
 def _presidency(zone: Column) -> Column:
-    return has(zone, R.PRESIDENCY_LETTERHEAD, "i") | has(zone, R.PRESIDENCY_LINE, "im")
+    named = has(zone, r"Pr[eé]sidence", "i")  # both patterns hold the word, and the first is slow on long lines
+    return named & (has(zone, R.PRESIDENCY_LETTERHEAD, "i") | has(zone, R.PRESIDENCY_LINE, "im"))
 
 
 def etablissement(zone: Column) -> Column:
@@ -118,8 +127,7 @@ def etablissement(zone: Column) -> Column:
     return F.coalesce(
         F.when(_presidency(zone), R.PRESIDENCY),
         first_name(zone, R.BODIES_FR, "i"),
-        first_name(zone, R.BODIES_AR),
-        F.when(president, R.PRESIDENCY),
+        F.when(has_arabic(zone), F.coalesce(first_name(zone, R.BODIES_AR), F.when(president, R.PRESIDENCY))),
     )
 
 
@@ -128,17 +136,21 @@ def expediteur(t: Column, zone: Column, body: Column) -> Column:
     titled = r"من\s+(?:السيد|السيدة)?\s*(عميد|عميدة|مدير|مديرة|رئيس|نائب\s+رئيس)\s+([^\n]{5,100})"
     name = strip(group(t, titled, 1))
     opening = F.substring(t, 1, 1500)
-    institution = F.when(~_presidency(zone), best_name(zone, R.INSTITUTIONS, "i"))
+    arabic = has_arabic(zone)
+    institution = F.when(~_presidency(zone), best_name(zone, R.INSTITUTIONS, "i", arabic))
     inferred = (
         F.when(body.rlike("^(FST-|FSS-|FSJES-|FMP-|FLSH-)"), "Le Doyen")
         .when(body.rlike("^(EST-|ENSA-|CRI-)"), "Le Directeur")
         .when(body.contains("Présidence"), "Le Président")
     )
-    return F.coalesce(
+    in_arabic = F.coalesce(
         F.when(has(t, r"من\s+السيد\s+رئيس\s+الجامعة"), R.PRESIDENT),
         F.concat(F.coalesce(mapped(name, R.ARABIC_TITLES), name), F.lit(" de "), strip(group(t, titled, 2))),
         F.when(has(opening, r"رئيس\s+الجامعة") & has(opening, r"رئاسة|الرئاسة|جامعة\s+القاض[يى]\s+عياض"), R.PRESIDENT),
-        non_empty(F.concat_ws(" — ", first_name(zone, R.TITLES), institution)),
+    )
+    return F.coalesce(
+        F.when(has_arabic(t), in_arabic),
+        non_empty(F.concat_ws(" — ", first_name(zone, R.TITLES, "", arabic), institution)),
         inferred,
     )
 
@@ -164,8 +176,8 @@ def capitalised(s: Column, kept: tuple[str, ...] = ACRONYMS, small: tuple[str, .
 
 def is_arabic(s: Column) -> Column:
     """Over three Arabic characters, and as many as Latin ones or more."""
-    arabic = F.regexp_count(s, F.lit(r"[\x{0600}-\x{06FF}]"))
-    return (arabic > 3) & (arabic >= F.regexp_count(s, F.lit("[A-Za-zÀ-ÿ]")))
+    arabic, latin = script_counts(s, ARABIC)
+    return (arabic > 3) & (arabic >= latin)
 
 
 # Words that keep their capitals, and that lose all, in the scan profile.
@@ -179,7 +191,7 @@ def clean_destinataire(raw: Column) -> Column:
     marks = r"\s+(?:Objet|OBJET|Bordereau|BORDEREAU|الموضوع|ال[مم]و[ضصظط]و[عغ]|Nature|Nombre|Veuillez)\s*[:\s]"
 
     def before_marks(x: Column) -> Column:
-        return F.get(F.split(x, rx(marks), 2), F.lit(0))
+        return before(x, marks)
 
     def finished(x: Column) -> Column:
         latin = before_marks(strip(sub(sub(x, r"[\x{0600}-\x{06FF}]+", ""), r"\s+", " ")))
@@ -195,10 +207,10 @@ def destinataire(t: Column) -> Column:
     names = "السيد|السيدة|السيدتين|السادة|السيدات|رئيس|رؤساء|عميد|عمداء|مدير|مديري|المؤسسات|الكليات|الجامعة"
     line, following = strip(group(t, free, 1)), non_empty(group(t, free, 2))
     more = F.when(~has(following, r"\A\s*(?:الموضوع|ال[مم]و[ضصظط]و[عغ]|سلام|وبعد|في\s+إطار)"), strip(following))
+    in_arabic = F.coalesce(clean_destinataire(group(t, arabic)), F.when(has(line, names), clean_destinataire(F.concat_ws(" ", line, more))))
     return F.coalesce(
         clean_destinataire(group(t, french)),
-        clean_destinataire(group(t, arabic)),
-        F.when(has(line, names), clean_destinataire(F.concat_ws(" ", line, more))),
+        F.when(has_arabic(t), in_arabic),
         clean_destinataire(group(t, r"[Dd]estinataire\s*[:.]\s*(.+?)(?:\n|$)")),
     )
 
@@ -206,9 +218,8 @@ def destinataire(t: Column) -> Column:
 def corps(t: Column) -> Column:
     """What stands between the subject's line and the closing formula."""
     opening = r"(?:Objet|الموضوع|ال[مم]و[ضصظط]و[عغ])\s*[:.]\s*[^\n]+\n+"
-    rest = F.when(has(t, opening, "i"), cut(t, end(t, opening, "i"), F.length(t))).otherwise(t)
-    body = sub(strip(F.substring(rest, F.lit(1), F.least(*(start(rest, p) for p in R.BODY_ENDS)))), r"\n{3,}", "\n\n")
-    return F.when((F.length(t) >= 50) & (F.length(body) > 30), body)
+    body = sub(strip(before(after(t, opening, "i"), either(R.BODY_ENDS))), r"\n{3,}", "\n\n")
+    return let(F.when(F.length(t) >= 50, body), lambda b: F.when(F.length(b) > 30, b))
 
 
 def extract(df: DataFrame, text: str = "texte_complet") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from missiva.functions import language, normalise
 from missiva.operators import ocr, records, scan_fields, scoring, text_fields
+from missiva.plans import cases
 from missiva.plans.profiles import scan_fields_scored, scan_profile, text_fields_scored, text_profile
 from missiva.sources import files
 from missiva.sources.letters import CONFIDENCE_KEYS, COURRIERS_CTE, LETTERS_CTE, courriers, letters
@@ -203,14 +204,21 @@ _repair("noise_lines", normalise.noise_lines, r"regexp_replace(regexp_replace(t,
 _repair("stamp_days", normalise.stamp_days, r"regexp_replace(t, '\b(\d)[ ]+(\d)[ ]+(AVR)', '\1\2 \3', 'g')")
 
 
-@query()
+_PREFIX = "r@K@x "
+
+
+def _repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.drawn(spark, sf_dir, [_PREFIX + t for t, _, _ in cases.REPAIRS])
+
+
+@query(cases.drawn_sql(t=[_PREFIX + t for _, t, _ in cases.REPAIRS]))
 def normalise_text_profile(spark, sf_dir):
-    return _noisy(spark, sf_dir).select("id", normalise.normalise_text(F.col("t")).alias("t"))
+    return _repairs(spark, sf_dir).select("id", normalise.normalise_text(F.col("text")).alias("t"))
 
 
-@query()
+@query(cases.drawn_sql(t=[_PREFIX + t for _, _, t in cases.REPAIRS]))
 def normalise_scan_profile(spark, sf_dir):
-    return _noisy(spark, sf_dir).select("id", normalise.normalise_scan(F.col("t")).alias("t"))
+    return _repairs(spark, sf_dir).select("id", normalise.normalise_scan(F.col("text")).alias("t"))
 
 
 # --- language ------------------------------------------------------------------------------------------------------
@@ -324,14 +332,82 @@ def corps_scan(spark, sf_dir):
 # --- profile, scores, routes ---------------------------------------------------------------------------------------
 
 
-@query()
+#: What the scan profile reads in the plain letters, by their template.
+_SCAN_READ = (
+    _COUNTS.rstrip() + r""", f AS (
+  SELECT id, CASE WHEN id % 4 = 3 OR id % 2 = 0 THEN concat(id % 900 + 100, '/', id % 8000 + 1000) ELSE CAST(id % 900 + 100 AS VARCHAR) END AS numero,
+    regexp_extract(texte_complet, 'le (\d\d [^ ]+ \d{4})', 1) AS date, regexp_extract(texte_complet, 'Objet : ([^\n]+)', 1) AS objet,
+    CASE WHEN id % 4 = 3 THEN 'Le Doyen — Présidence UCA' WHEN id % 3 = 0 THEN 'Le Doyen — FSS Semlalia' WHEN id % 3 = 1 THEN 'Le Doyen — FST Marrakech' ELSE 'Le Doyen' END AS expediteur,
+    'Monsieur le Président de l''Université' AS destinataire,
+    CASE WHEN texte_complet LIKE '%Bordereau d''envoi%' THEN 'bordereau' WHEN texte_complet LIKE '%Note de service%' THEN 'note' ELSE 'lettre' END AS type_document,
+    CASE WHEN id % 4 = 3 THEN NULL WHEN id % 3 = 0 THEN 'FSS-Marrakech' WHEN id % 3 = 1 THEN 'FST-Marrakech' ELSE 'La Présidence - Marrakech' END AS etablissement,
+    substr(texte_complet, strpos(texte_complet, 'Monsieur le Président,'), strpos(texte_complet, chr(10) || 'Veuillez') - strpos(texte_complet, 'Monsieur le Président,')) AS corps,
+    CASE WHEN a + l < 10 THEN 'unknown' WHEN a / (a + l) > 0.7 THEN 'ar' WHEN a / (a + l) < 0.2 THEN 'fr' ELSE 'fr+ar' END AS langue_detectee, false AS has_stamp
+  FROM letters JOIN n USING (id)) """
+)
+_FIELDS_LONG = """(SELECT *, unnest(['numero', 'date', 'objet', 'expediteur', 'destinataire', 'type_document', 'etablissement']) AS field,
+    unnest([numero, date, objet, expediteur, destinataire, type_document, etablissement]) AS value FROM f)"""
+#: Scores of the scan profile and their routes, from (id, field, value, has_stamp).
+_SCAN_SCORES = """, s AS (
+  SELECT id, field, value, CASE WHEN value IS NULL THEN 0 WHEN field = 'type_document' THEN CASE WHEN value = 'lettre' THEN 0.55e0 ELSE 0.85e0 END
+      ELSE CASE field WHEN 'numero' THEN CASE WHEN has_stamp THEN 0.90e0 ELSE 0.70e0 END WHEN 'date' THEN CASE WHEN has_stamp THEN 0.95e0 ELSE 0.85e0 END
+          WHEN 'objet' THEN 0.80e0 WHEN 'etablissement' THEN 0.90e0 ELSE 0.85e0 END
+        - CASE WHEN length(value) < 5 THEN 0.15e0 ELSE 0 END - CASE WHEN length(value) > 200 THEN 0.05e0 ELSE 0 END END AS score
+  FROM """ + _FIELDS_LONG + """)
+SELECT id, field, value, round(CAST(score AS DOUBLE), 6) AS score, CAST(floor(CAST(score AS DOUBLE) * 100) AS INTEGER) AS percent,
+  CASE WHEN score < 0.60e0 THEN 'manual' WHEN score < 0.90e0 THEN 'review' ELSE 'auto' END AS action,
+  CASE WHEN score < 0.60e0 THEN 'red' WHEN score < 0.90e0 THEN 'yellow' ELSE 'green' END AS color,
+  CASE WHEN score >= 0.60e0 THEN value END AS shown FROM s"""
+
+
+@query(_SCAN_READ + "SELECT * FROM f", LETTERS_CTE)
 def scan_profile_fields(spark, sf_dir):
     return scan_profile(letters(spark, sf_dir)).select("id", *scan_fields.FIELDS, "corps", "langue_detectee", "has_stamp")
 
 
-@query()
+@query(_SCAN_READ + _SCAN_SCORES, LETTERS_CTE)
 def score_route_scan(spark, sf_dir):
-    return scan_fields_scored(letters(spark, sf_dir))
+    return scan_fields_scored(letters(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(cases.read_sql(cases.SCAN))
+def mail_scan_fields(spark, sf_dir):
+    """Stamps, ten types, bodies, noise: letters with stated results."""
+    return scan_profile(cases.letters(spark, sf_dir)).select("id", *scan_fields.FIELDS, "corps", F.col("langue_detectee").alias("langue"))
+
+
+_STAMPED = f"o_orderkey % {len(cases.LETTERS)} IN {cases.STAMPED} AS has_stamp FROM orders"
+
+
+@query("WITH f AS (" + cases.read_sql(cases.SCAN).replace("FROM orders", ", " + _STAMPED) + ")" + _SCAN_SCORES)
+def mail_scan_scores(spark, sf_dir):
+    return scan_fields_scored(cases.letters(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(cases.read_sql(cases.TEXT))
+def mail_text_fields(spark, sf_dir):
+    return text_profile(cases.letters(spark, sf_dir)).select("id", *scan_fields.FIELDS, "corps", F.col("langue_detectee").alias("langue"))
+
+
+#: Scores of the text profile, from (id, field, value).
+_TEXT_SCORES = r""", s AS (
+  SELECT id, field, value, CASE WHEN value IS NULL OR value = '' THEN 0.0
+      WHEN field = 'numero' THEN CASE WHEN regexp_matches(value, '^[0-9]{2,6}/[0-9]{2,4}(/[A-Z-]+)?$') THEN 0.90 WHEN regexp_matches(value, '^[0-9]{3,5}$') THEN 0.70 ELSE 0.55 END
+      WHEN field = 'date' THEN CASE WHEN regexp_matches(value, '^[0-9]{2} [^ ]+ [0-9]{4}$') THEN 0.95 ELSE 0.55 END
+      WHEN field = 'objet' THEN CASE WHEN length(value) BETWEEN 10 AND 200 THEN 0.80 WHEN length(value) > 200 THEN 0.60 ELSE 0.55 END
+      WHEN field = 'expediteur' THEN CASE CAST(regexp_matches(value, 'Pr[eé]sident|Doyen|Directeur|Vice|Secr[eé]taire|رئيس|العميد|المدير') AS INTEGER)
+          + CAST(regexp_matches(value, 'Facult[eé]|Universit[eé]|CRI|EST|FST|FSJES|FSS|FMP|FLSH|ENSA|ENCG|Pr[eé]sidence|كلية|جامعة|المدرسة') AS INTEGER) WHEN 2 THEN 0.90 WHEN 1 THEN 0.70 ELSE 0.55 END
+      WHEN field = 'destinataire' THEN CASE WHEN regexp_matches(value, 'Pr[eé]sident|Doyen|Directeur|Universit[eé]|Facult[eé]|رئيس|جامعة|كلية') THEN 0.85 ELSE 0.60 END
+      WHEN field = 'type_document' THEN CASE WHEN value <> 'lettre' THEN 0.85 ELSE 0.55 END
+      ELSE CASE WHEN value IN ('FSJES-Marrakech', 'FSS-Marrakech', 'FST-Marrakech', 'EST-Essaouira', 'EST-Safi', 'FP-Safi', 'CRI-Marrakech-Safi', 'La Présidence - Marrakech', 'FMP-Marrakech',
+          'FLSH-Marrakech', 'ENSA-Marrakech', 'ENCG-Marrakech') THEN 0.90 ELSE 0.55 END END AS score
+  FROM """ + _FIELDS_LONG + """)
+SELECT id, field, value, CAST(score AS DOUBLE) AS score, CAST(floor(CAST(score AS DOUBLE) * 100 + 1e-9) AS INTEGER) AS percent FROM s"""
+
+
+@query("WITH f AS (" + cases.read_sql(cases.TEXT) + ")" + _TEXT_SCORES)
+def mail_text_scores(spark, sf_dir):
+    return text_fields_scored(cases.letters(spark, sf_dir))
 
 
 @query(

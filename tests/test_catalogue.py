@@ -4,7 +4,11 @@ from collections import Counter
 
 import duckdb
 
+import pytest
+
+from missiva.plans import cases
 from missiva.plans.catalogue import ORACLES, QUERIES
+from missiva.plans.profiles import scan_profile, text_profile
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,3 +40,22 @@ def test_all_records_have_json(spark):
     by_id = {r.id: r.json for r in rows}
     assert by_id[2].endswith('"confidence":{"numero":6,"date":8,"objet":10,"expediteur":12,"destinataire":14,"type_document":16,"etablissement":18}}')
     assert by_id[10].endswith('"confidence":{}}')
+
+
+@pytest.mark.parametrize("name", ["normalise_text_profile", "normalise_scan_profile"])
+def test_repairs(spark, name):
+    assert len(same_as_sql(spark, name)) == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+
+
+@pytest.mark.parametrize("profile, read", [(scan_profile, cases.SCAN), (text_profile, cases.TEXT)])
+def test_letters_with_stated_results(spark, profile, read):
+    def fill(text):
+        return text and text.replace("@N@", "731").replace("@D@", "17").replace("@K@", "88")
+
+    df = spark.createDataFrame([(i, fill(t)) for i, t in enumerate(cases.LETTERS)], "id long, texte_complet string")
+    out = {r.id: r for r in profile(df).collect()}
+    for i, row in enumerate(read):
+        got = [out[i][c if c != "langue" else "langue_detectee"] for c in cases.READ]
+        assert got == [fill(v) for v in row], i
+    if profile is scan_profile:
+        assert tuple(i for i in out if out[i].has_stamp) == cases.STAMPED
