@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,11 @@ SPACES = " \t\n\x0b\f\r"
 #: The same as a Java regular expression.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-_made: list[tuple[object, str]] = []
+#: Shuffle files go when the query that made them has ended (public, since Spark 4.1; no effect before).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_made: dict[str, SparkSession] = {}
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/missiva-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path through Hadoop's file system layer."""
+    _made.pop(path, None)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -50,18 +58,40 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _remove_all() -> None:
-    for spark, path in _made:
+    for path, spark in list(_made.items()):
         try:
             remove(spark, path)
         except Exception:  # the session may have ended before
             return
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries made inside leave no shuffle files behind; the session's own setting comes back after."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: cuts the lineage, and lost executors lose nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with _tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more; None and other DataFrames are left alone."""
+    for t in tables:
+        if t is not None and (path := _tables.pop(t, None)):
+            remove(t.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

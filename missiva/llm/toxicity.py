@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from missiva.llm.common import drop, written
 from missiva.llm.langid import held_out, least_by_hash
 
 #: Common English insults.
@@ -183,14 +184,17 @@ def fit_logistic(x: np.ndarray, p: np.ndarray, l2: float = 0.1, rounds: int = 40
 def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict:
     """The model: stems, weights, accuracy and correlation of the voters. docs: (doc_id, text) of training rows only."""
     one = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = docs.select("doc_id", "text").filter("text is not null").join(one, "doc_id")
     long_lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= 40)
     copy = F.coalesce(F.array_min(F.transform(long_lines, lambda x: F.xxhash64(x))), F.xxhash64("text"))  # copies share their least long line
-    keys = known.select("doc_id", "toxic", copy.alias("copy")).groupBy("toxic", "copy").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select("doc_id", "text").filter("text is not null").withColumn("hash", F.xxhash64("text"))
+    known = texts.select("doc_id", "hash", copy.alias("copy")).join(one, "doc_id")  # three numbers a text are shuffled, not the text
+    keys = written(known.groupBy("toxic", "copy").agg(F.min(F.struct("doc_id", "hash")).alias("row")).select("toxic", "row.*"), "toxicity-keys")
     counts = {r["toxic"]: r["n"] for r in keys.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    chosen = least_by_hash(keys.select("doc_id", "toxic"), "toxic", counts, {1: max_toxic, 0: max_clean})
-    sample = known.join(F.broadcast(chosen), ["doc_id", "toxic"], "left_semi")  # at most max_toxic + max_clean rows
-    mined = [s for s in mine_stems(sample.select("text", "toxic")) if s.rstrip("*") not in LEXICON]
+    chosen = written(least_by_hash(keys, "toxic", counts, {1: max_toxic, 0: max_clean}), "toxicity-chosen")
+    # at most max_toxic + max_clean rows are broadcast, and as many texts kept
+    sample = written(texts.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("text", "toxic"), "toxicity-sample")
+    drop(keys, chosen)
+    mined = [s for s in mine_stems(sample) if s.rstrip("*") not in LEXICON]
     stems = [*LEXICON, *mined]
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_c
         for df in batches:
             yield pd.DataFrame({"toxic": df["toxic"], "x": [features(t, hits, len(stems)) for t in df["text"]]})
 
-    rows = sample.select("text", "toxic").mapInPandas(extract, "toxic int, x array<double>").toPandas()  # bounded, see chosen
+    rows = sample.mapInPandas(extract, "toxic int, x array<double>").toPandas()  # bounded, see chosen
+    drop(sample)
     if not len(rows):
         return {"stems": stems, "weights": np.append(np.zeros(len(stems) + N_PATTERNS), -3.0), "accuracy": np.zeros(0), "correlation": np.zeros((0, 0)), "posterior": np.zeros(0)}
     x = np.stack(rows["x"].to_list())
