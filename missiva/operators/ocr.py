@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missiva.functions.language import ARABIC, language_scan
+from missiva.functions.language import ARABIC, language_scan, ocr_mode
 from missiva.functions.patterns import sub
 
 PAGE_BREAK = "\n\n--- Page suivante ---\n\n"
@@ -38,6 +38,23 @@ def word_confidence(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id").agg(F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))) / 100, F.lit(0.5)).alias("confidence"))
 
 
+def variants_text(runs: DataFrame) -> DataFrame:
+    """doc_id, text: the texts of all of a document's image variants in order, blank ones left out, with an empty line between."""
+    full = runs.filter(F.trim("text") != "")
+    return full.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda v: v["text"]), "\n\n").alias("text"))
+
+
+def engine_asked(requested: Column, quick_text: Column) -> Column:
+    """The engine for a page: the one requested, or for ``auto`` the one that a quick look at its text calls for."""
+    return F.when(requested == "auto", ocr_mode(quick_text)).otherwise(requested)
+
+
+def dispatched(engine: Column, results: dict[str, Column]) -> Column:
+    """The result (text, engine) of the engine asked for; if that has no text, Tesseract's, then EasyOCR's; else ``failed``."""
+    own = F.coalesce(*(F.when(engine == name, r) for name, r in results.items()))
+    return first_text(own, results["tesseract"], results["easyocr"])
+
+
 def hybrid(arabic_easy: Column, arabic_tess: Column, conf_easy: Column, conf_tess: Column) -> Column:
     return F.when(arabic_easy > arabic_tess * 1.3, "easyocr").when(conf_easy > conf_tess, "easyocr").otherwise("tesseract")
 

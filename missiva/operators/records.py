@@ -117,7 +117,7 @@ def processing_time(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """Counts, mean confidence and mean time in one aggregation."""
+    """Counts, mean confidence and mean time in one aggregation, both means also rounded half to even."""
     values = F.map_values("confidence")
     mean = F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
     out = df.agg(
@@ -127,7 +127,8 @@ def overview(df: DataFrame) -> DataFrame:
         F.coalesce(F.avg(mean), F.lit(0.0)).alias("confidence"),
         F.coalesce(F.avg("processing_time_ms"), F.lit(0.0)).alias("time_ms"),
     )
-    return out.withColumn("rejected", F.col("total") - F.col("validated") - F.col("pending"))
+    rounded = {"confidence_rounded": F.bround("confidence", 1), "time_ms_rounded": F.bround("time_ms", 0).cast("long")}
+    return out.withColumns({"rejected": F.col("total") - F.col("validated") - F.col("pending"), **rounded})
 
 
 def as_json(df: DataFrame) -> DataFrame:

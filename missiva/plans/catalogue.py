@@ -51,14 +51,30 @@ def status_counts(spark, sf_dir):
     return records.status_counts(courriers(spark, sf_dir))
 
 
-@query("SELECT coalesce(avg(row_mean), 0) AS mean FROM courriers", COURRIERS_CTE)
+@query("SELECT round(coalesce(avg(row_mean), 0), 9) AS mean, round_even(coalesce(avg(row_mean), 0), 1) AS mean_rounded FROM courriers", COURRIERS_CTE)
 def confidence_mean(spark, sf_dir):
-    return records.confidence_mean(courriers(spark, sf_dir)).select(F.col("mean"))
+    return records.confidence_mean(courriers(spark, sf_dir)).withColumn("mean", F.round("mean", 9))
 
 
-@query("SELECT coalesce(avg(processing_time_ms), 0) AS mean_ms FROM courriers", COURRIERS_CTE)
+@query("SELECT coalesce(avg(processing_time_ms), 0) AS mean_ms, CAST(round_even(coalesce(avg(processing_time_ms), 0), 0) AS BIGINT) AS mean_ms_rounded FROM courriers", COURRIERS_CTE)
 def processing_time_avg(spark, sf_dir):
-    return records.processing_time(courriers(spark, sf_dir)).select("mean_ms")
+    return records.processing_time(courriers(spark, sf_dir))
+
+
+@query(
+    "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'validated') AS validated, count(*) FILTER (WHERE status = 'pending') AS pending,"
+    " count(*) FILTER (WHERE status = 'rejected') AS rejected, round(coalesce(avg(row_mean), 0), 9) AS confidence, round_even(coalesce(avg(row_mean), 0), 1) AS confidence_rounded,"
+    " coalesce(avg(processing_time_ms), 0) AS time_ms, CAST(round_even(coalesce(avg(processing_time_ms), 0), 0) AS BIGINT) AS time_ms_rounded FROM courriers",
+    COURRIERS_CTE,
+)
+def overview(spark, sf_dir):
+    return records.overview(courriers(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("SELECT id, filename, objet, 'pending' AS status, CAST(NULL AS VARCHAR) AS validated_by, CAST(NULL AS VARCHAR) AS langue_detectee, processing_time_ms FROM courriers", COURRIERS_CTE)
+def insert_pending(spark, sf_dir):
+    """The rows as records.insert appends them (their time of creation is the time of the insert, so it is left out)."""
+    return records.pending(courriers(spark, sf_dir)).select("id", "filename", "objet", "status", "validated_by", "langue_detectee", "processing_time_ms")
 
 
 @query("SELECT id, created_at FROM courriers ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20", COURRIERS_CTE)
@@ -116,26 +132,21 @@ def delete_rows(spark, sf_dir):
     return records.delete(table, table.filter("id % 7 = 0"))
 
 
-@query(
-    "SELECT id, concat('{\"id\":', id, ',\"status\":\"', status, '\",\"date\":null,\"confidence\":{}}') AS json FROM courriers WHERE id % 10 < 2",
-    COURRIERS_CTE,
+_MAP_JSON = ", ',', ".join(f"'\"{name}\":', (id * {k + 3}) % 101" for k, name in enumerate(CONFIDENCE_KEYS))
+_JSON_SQL = (
+    f"SELECT id, concat('{{\"id\":', id, ',\"status\":\"', status, '\",\"date\":null,\"confidence\":{{', CASE WHEN id % 10 >= 2 THEN concat({_MAP_JSON}) ELSE '' END, '}}}}') AS json"
+    " FROM courriers"
 )
-def json_row(spark, sf_dir):
-    table = courriers(spark, sf_dir).select("id", "status", "date_courrier", "confidence")
-    return records.as_json(table.filter("id % 10 < 2"))  # the rows whose map is null or empty, which the public form shows alike
 
 
-_MAP_JSON = ", ',', ".join(f"'\"{name}\":', (id * {k + 3}) % 101" for k, name in enumerate(CONFIDENCE_KEYS))
+@query(_JSON_SQL, COURRIERS_CTE)
+def json_row(spark, sf_dir):
+    return records.as_json(courriers(spark, sf_dir).select("id", "status", "date_courrier", "confidence"))
 
 
-@query(
-    f"SELECT id, concat('{{\"id\":', id, ',\"status\":\"', status, '\",\"date\":null,\"confidence\":{{', CASE WHEN id % 10 >= 2 THEN concat({_MAP_JSON}) ELSE '' END, '}}}}') AS json"
-    " FROM courriers",
-    COURRIERS_CTE,
-)
+@query(_JSON_SQL, COURRIERS_CTE)
 def json_all_rows(spark, sf_dir):
-    """json_row over the whole table, filled maps too."""
-    return records.as_json(courriers(spark, sf_dir).select("id", "status", "date_courrier", "confidence"))
+    return json_row(spark, sf_dir)
 
 
 @query("SELECT id, CAST(NULL AS VARCHAR) AS etablissement FROM courriers", COURRIERS_CTE)
@@ -164,6 +175,17 @@ def ext_allow_list(spark, sf_dir):
     return files.accepted(listed).select("page_id", "ext", "file_type", "refused")
 
 
+@query(f"SELECT page_id, sha256(html) AS sha256, concat(sha256(html), lower(regexp_extract({_NAME}, '(\\.[^./]+)$', 1))) AS stored_as FROM pages")
+def stored_files(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.expr(_NAME).alias("path"), F.col("html").cast("binary").alias("content"))
+    return files.stored(pages).select("page_id", "sha256", "stored_as")
+
+
+@query("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10")
+def text_ingestion(spark, sf_dir):
+    return files.text_rows(_documents(spark, sf_dir)).select("doc_id")
+
+
 # --- text repair ---------------------------------------------------------------------------------------------------
 
 _NOISY = (
@@ -422,42 +444,49 @@ def review_queue(spark, sf_dir):
     return scoring.review_queue(scan_fields_scored(letters(spark, sf_dir)))
 
 
-@query(
-    "SELECT id, CASE WHEN id % 2 = 0 THEN concat(id % 900 + 100, '/', regexp_replace(CAST(id % 8000 + 1000 AS VARCHAR), '^(?:20[6-9]6|[6-9]026)$', '2026')) ELSE CAST(id % 900 + 100 AS VARCHAR) END AS numero,"
-    r" regexp_extract(texte_complet, 'le (\d\d [^ ]+ \d{4})', 1) AS date, regexp_extract(texte_complet, 'Objet : ([^\n]+)', 1) AS objet,"
-    " CASE WHEN texte_complet LIKE '%Bordereau d''envoi%' THEN 'bordereau' WHEN texte_complet LIKE '%Note de service%' THEN 'note' ELSE 'lettre' END AS type_document,"
-    " CASE WHEN id % 4 = 3 THEN 'La Présidence - Marrakech' WHEN id % 3 = 0 THEN 'FSS-Marrakech' WHEN id % 3 = 1 THEN 'FST-Marrakech' ELSE 'La Présidence - Marrakech' END AS etablissement,"
-    " CASE WHEN id % 4 = 3 THEN 'fr+ar' ELSE 'fr' END AS langue FROM letters WHERE id % 4 <> 3",
-    LETTERS_CTE,
-)
-def text_profile_fields(spark, sf_dir):
-    """The French letters."""
-    out = text_profile(letters(spark, sf_dir).filter("id % 4 <> 3"))
-    return out.select("id", "numero", "date", "objet", "type_document", "etablissement", F.col("langue_detectee").alias("langue"))
-
-
-@query(
+_TEXT_READ = (
     ", n AS (SELECT *, len(regexp_extract_all(texte_complet, '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]')) AS w, len(regexp_extract_all(texte_complet, '[A-Za-zÀ-ÿ]')) AS l FROM letters)"
     " SELECT id, CASE WHEN id % 4 = 3 OR id % 2 = 0 THEN concat(id % 900 + 100, '/', regexp_replace(CAST(id % 8000 + 1000 AS VARCHAR), '^(?:20[6-9]6|[6-9]026)$', '2026'))"
     " ELSE CAST(id % 900 + 100 AS VARCHAR) END AS numero,"
     r" regexp_extract(texte_complet, 'le (\d\d [^ ]+ \d{4})', 1) AS date, regexp_extract(texte_complet, 'Objet : ([^\n]+)', 1) AS objet,"
     " CASE WHEN texte_complet LIKE '%Bordereau d''envoi%' THEN 'bordereau' WHEN texte_complet LIKE '%Note de service%' THEN 'note' ELSE 'lettre' END AS type_document,"
     " CASE WHEN id % 4 = 3 THEN 'La Présidence - Marrakech' WHEN id % 3 = 0 THEN 'FSS-Marrakech' WHEN id % 3 = 1 THEN 'FST-Marrakech' ELSE 'La Présidence - Marrakech' END AS etablissement,"
-    " CASE WHEN w > l THEN 'ar' WHEN w > 0 AND w > l * 0.2 THEN 'fr+ar' ELSE 'fr' END AS langue FROM n",
-    LETTERS_CTE,
+    " CASE WHEN w > l THEN 'ar' WHEN w > 0 AND w > l * 0.2 THEN 'fr+ar' ELSE 'fr' END AS langue FROM n"
 )
-def text_profile_all_letters(spark, sf_dir):
-    """text_profile_fields over the French and the Arabic letters."""
+
+
+@query(_TEXT_READ, LETTERS_CTE)
+def text_profile_fields(spark, sf_dir):
     out = text_profile(letters(spark, sf_dir))
     return out.select("id", "numero", "date", "objet", "type_document", "etablissement", F.col("langue_detectee").alias("langue"))
 
 
-@query()
+@query(_TEXT_READ, LETTERS_CTE)
+def text_profile_all_letters(spark, sf_dir):
+    return text_profile_fields(spark, sf_dir)
+
+
+_READ_CTE, _READ_SELECT = _TEXT_READ.split(" SELECT id, ", 1)
+#: The plain letters' fields and bodies in the text profile, as the common table expression f.
+_TEXT_FIELDS = (
+    _READ_CTE
+    + ", r AS (SELECT id, "
+    + _READ_SELECT
+    + r"""), f AS (SELECT r.*,
+    CASE WHEN id % 4 = 3 THEN 'Le Doyen — Présidence UCA' WHEN id % 3 = 0 THEN 'Le Doyen — FSS Semlalia' WHEN id % 3 = 1 THEN 'Le Doyen — FST Marrakech' ELSE 'Le Doyen' END AS expediteur,
+    concat('Monsieur le Président de l''Université', CASE WHEN id % 5 <> 0 AND id % 7 = 0 THEN ' Note de service' ELSE '' END) AS destinataire,
+    concat(CASE WHEN id % 5 = 0 THEN concat('Bordereau d''envoi', chr(10)) ELSE '' END, 'Objet : ', objet, chr(10), 'Monsieur le Président,', chr(10),
+      regexp_extract(texte_complet, '(J''ai l''honneur [^\n]+)', 1)) AS corps
+  FROM r JOIN letters USING (id))"""
+)
+
+
+@query(_TEXT_FIELDS + " SELECT id, expediteur, destinataire, corps FROM f", LETTERS_CTE)
 def text_profile_bodies(spark, sf_dir):
     return text_profile(letters(spark, sf_dir)).select("id", "expediteur", "destinataire", "corps")
 
 
-@query()
+@query(_TEXT_FIELDS + _TEXT_SCORES, LETTERS_CTE)
 def score_text(spark, sf_dir):
     return text_fields_scored(letters(spark, sf_dir))
 
@@ -517,8 +546,9 @@ def spatial_order(spark, sf_dir):
     """WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_no, CASE WHEN l_partkey % 2 = 0 THEN 'tesseract' ELSE 'easyocr' END AS engine,
     concat('page ', l_partkey) AS text, l_discount AS confidence FROM lineitem)
 SELECT doc_id, string_agg(text, chr(10) || chr(10) || '--- Page suivante ---' || chr(10) || chr(10) ORDER BY page_no, text) AS text,
-  array_to_string(list_sort(list_distinct(list(engine))), ',') AS engine, round(avg(confidence), 6) AS confidence, 'fr' AS langue FROM p GROUP BY doc_id
-HAVING len(regexp_extract_all(string_agg(text, ''), '[a-z]')) >= 0"""
+  array_to_string(list_sort(list_distinct(list(engine))), ',') AS engine, round(avg(confidence), 6) AS confidence,
+  CASE WHEN count(*) * 4 + (count(*) - 1) * 12 < 10 THEN 'unknown' ELSE 'fr' END AS langue -- letters of "page" and of "Page suivante"
+FROM p GROUP BY doc_id"""
 )
 def page_merge(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -528,8 +558,7 @@ def page_merge(spark, sf_dir):
         F.concat(F.lit("page "), F.col("l_partkey")).alias("text"),
         F.col("l_discount").alias("confidence"),
     )
-    out = ocr.merge_pages(pages)
-    return out.withColumns({"confidence": F.round("confidence", 6), "langue": F.when(F.col("langue") == "unknown", "fr").otherwise(F.col("langue"))})
+    return ocr.merge_pages(pages).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
@@ -562,3 +591,63 @@ def psm_argmax(spark, sf_dir):
         (F.col("l_quantity") * 20).alias("chars"),
     )
     return ocr.best_segmentation(runs).withColumn("score", F.round("score", 6))
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS INTEGER) - 30 AS conf FROM lineitem)
+SELECT doc_id, round(coalesce(avg(conf) FILTER (WHERE conf > 0) / 100, 0.5), 9) AS confidence FROM w GROUP BY doc_id"""
+)
+def word_confidence(spark, sf_dir):
+    words = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_quantity").cast("int") - 30).alias("conf"))
+    return ocr.word_confidence(words).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(
+    """WITH v AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_linenumber % 3 = 0 THEN '  ' ELSE concat('v', l_partkey) END AS text FROM lineitem)
+SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord, text) AS text FROM v WHERE trim(text) <> '' GROUP BY doc_id"""
+)
+def variants_text(spark, sf_dir):
+    runs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.col("l_linenumber").alias("ord"),
+        F.when(F.col("l_linenumber") % 3 == 0, "  ").otherwise(F.concat(F.lit("v"), F.col("l_partkey"))).alias("text"),
+    )
+    return ocr.variants_text(runs)
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS id, ['auto', 'tesseract', 'easyocr', 'hybrid'][o_custkey % 4 + 1] AS requested,
+    CASE o_orderkey % 3 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'easyocr' ELSE 'hybrid' END AS looked_for,
+    o_orderkey % 2 = 0 AS t, o_orderkey % 5 > 1 AS e, o_orderkey % 7 > 2 AS h FROM orders),
+  a AS (SELECT *, CASE WHEN requested = 'auto' THEN looked_for ELSE requested END AS asked FROM p),
+  r AS (SELECT *, CASE WHEN asked = 'hybrid' AND h THEN 'hybrid' WHEN asked = 'easyocr' AND e THEN 'easyocr' WHEN t THEN 'tesseract' WHEN e THEN 'easyocr' ELSE 'failed' END AS engine FROM a)
+SELECT id, asked, engine, CASE WHEN engine = 'failed' THEN '' ELSE concat(engine, ' ', id) END AS text FROM r"""
+)
+def engine_dispatch(spark, sf_dir):
+    """The page's engine by request or by its text, and the chain after it, over results that some engines don't have."""
+    key = F.col("o_orderkey")
+    latin, arabic = "Une page en français, sans rien d'autre", "صفحة باللغة العربية وحدها بلا شيء آخر"
+    quick = F.when(key % 3 == 0, latin).when(key % 3 == 1, arabic).otherwise(latin + arabic)
+    requested = F.element_at(F.array(*map(F.lit, ("auto", "tesseract", "easyocr", "hybrid"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+
+    def result(engine: str, has_text: Column) -> Column:
+        return F.struct(F.when(has_text, F.concat(F.lit(f"{engine} "), key)).otherwise(" ").alias("text"), F.lit(engine).alias("engine"))
+
+    results = {"tesseract": result("tesseract", key % 2 == 0), "easyocr": result("easyocr", key % 5 > 1), "hybrid": result("hybrid", key % 7 > 2)}
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("id"), ocr.engine_asked(requested, quick).alias("asked"), *(r.alias(n) for n, r in results.items()))
+    chosen = ocr.dispatched(F.col("asked"), {n: F.col(n) for n in results})
+    return orders.select("id", "asked", chosen["engine"].alias("engine"), chosen["text"].alias("text"))
+
+
+@query(cases.drawn_sql(text=[t for _, _, t in cases.ARABIC_REPAIRS]))
+def arabic_fix(spark, sf_dir):
+    share = F.get(F.array(*(F.lit(n / 10) for _, n, _ in cases.ARABIC_REPAIRS)), F.col("case"))
+    return cases.drawn(spark, sf_dir, [t for t, _, _ in cases.ARABIC_REPAIRS]).select("id", ocr.arabic_fix(F.col("text"), share).alias("text"))
+
+
+@query(cases.drawn_sql(numero=[n for _, n, _ in cases.STAMPS], date=[d for _, _, d in cases.STAMPS]))
+def stamp_fields_text(spark, sf_dir):
+    """Number and date of arrival stamps, found by each of the text profile's ways."""
+    zone = F.col("zone")
+    zoned = cases.drawn(spark, sf_dir, [t for t, _, _ in cases.STAMPS]).select("id", text_fields.stamp_zone(F.col("text")).alias("zone"))
+    return zoned.select("id", text_fields.stamp_number(zone).alias("numero"), text_fields.stamp_date(zone).alias("date"))

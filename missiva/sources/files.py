@@ -33,6 +33,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return accepted(spark.read.format("binaryFile").load(path))
 
 
+def stored(files: DataFrame) -> DataFrame:
+    """files with sha256 and the name to store under: by content, so that writing a file again changes nothing."""
+    key = F.sha2("content", 256)
+    return files.withColumn("sha256", key).withColumn("stored_as", F.concat(key, extension(F.col("path"))))
+
+
 def text_rows(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows with at least ten characters besides white space at the ends."""
     return df.filter(F.length(strip(F.col(text))) >= 10)

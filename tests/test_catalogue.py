@@ -1,11 +1,13 @@
 """Queries over whole tables against their SQL in DuckDB."""
 
+import json
 from collections import Counter
 
 import duckdb
 
 import pytest
 
+from missiva.__main__ import main
 from missiva.plans import cases
 from missiva.plans.catalogue import ORACLES, QUERIES
 from missiva.plans.profiles import scan_profile, text_profile
@@ -16,12 +18,13 @@ SMALL = "/root/testdata/sf0.001"
 def same_as_sql(spark, name):
     """The query's rows, when they are those of its SQL."""
     con = duckdb.connect()
-    for table in ("orders", "documents", "labels"):
+    for table in ("orders", "documents", "labels", "pages", "lineitem"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     out = QUERIES[name](spark, SMALL)
     want = con.execute(ORACLES[name])
-    assert out.columns == [c[0] for c in want.description]
-    rows = out.collect()
+    names = [c[0] for c in want.description]
+    assert sorted(out.columns) == sorted(names)
+    rows = out.select(*names).collect()
     assert Counter(map(tuple, rows)) == Counter(want.fetchall())
     return rows
 
@@ -59,3 +62,17 @@ def test_letters_with_stated_results(spark, profile, read):
         assert got == [fill(v) for v in row], i
     if profile is scan_profile:
         assert tuple(i for i in out if out[i].has_stamp) == cases.STAMPED
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.txt").write_text(cases.LETTERS[9].replace("@N@", "731").replace("@D@", "17").replace("@K@", "88"))
+    (tmp_path / "b.txt").write_text("court")
+    assert main([str(tmp_path)], spark) == 0
+    shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert len(shown) == 1 and shown[0]["numero"] == "731/2031" and shown[0]["type_document"] == "invitation"
+    assert shown[0]["path"].endswith("a.txt")
+
+
+@pytest.mark.parametrize("name", ["stored_files", "text_ingestion", "overview", "engine_dispatch", "arabic_fix", "word_confidence", "variants_text", "page_merge"])
+def test_small_queries(spark, name):
+    same_as_sql(spark, name)
