@@ -5,8 +5,9 @@ in at least ``min_docs`` documents lose all their lines except in the smallest d
 is put together again by position.
 
 Only hashes, document ids and positions are shuffled by key; counts are partial before the shuffle (for two documents
-the smallest and the largest doc_id suffice), the join back on the key is one that Spark can split where it is skewed,
-and whole texts are shuffled once, for the join with their dropped positions.
+the smallest and the largest doc_id suffice). The shared keys are written to the shared folder first: both sides of the
+join back on the key are then plain exchanges, which Spark splits where a key is hot (an aggregate below a join can't be
+split). Whole texts are shuffled once, for the join with their dropped positions.
 
 Defined results: a null or empty text is one empty line; rows with the same doc_id count as one document, and a null
 doc_id as the largest of all; rows are told apart by doc_id and the text's hash, so repeated rows are treated alike;
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missiva.llm.common import SPACES
+from missiva.llm.common import SPACES, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 10
@@ -48,8 +49,9 @@ def deduplicated_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_chars:
         shared = lines.groupBy("h", "g").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last")
     else:
         shared = lines.groupBy("h", "g").agg(F.min("d").alias("first"), F.count_distinct("d").alias("n")).filter(F.col("n") >= min_docs)
+    shared = written(shared.select("h", "g", "first"), "shared-lines")
     dropped = (
-        lines.join(shared.select("h", "g", "first"), ["h", "g"])
+        lines.join(shared, ["h", "g"])
         .filter("d <> first")
         .groupBy("d", "th")
         .agg(F.collect_set("at").alias("gone"))
