@@ -8,8 +8,8 @@
   bound is lower are left out.
 * Regions, laid in a chain of near pivots, form cells of about ``block`` rows; a region above that is split by a hash of
   vec_id, so that no group is unbounded. A query goes only to the cells that its bounds ask for, in blocks of ``block``
-  queries. There are 1 / every as many queries as rows, so it is they that are replicated, and data rows only once for
-  each block of queries.
+  queries. Queries are dealt to blocks by their nearest region, so that those of a block ask for much the same cells, and
+  data rows are copied only to the blocks that ask for their cell.
 * Each pair of blocks is solved on its own; its k best rows a query meet in a last ranking.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id;
@@ -125,7 +125,6 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
         cell[j], parts[j] = current, max(1, -(-int(n) // block))
         held += int(n)
     cells_parts = {int(c): int(parts[cell == c].max()) for c in np.unique(cell[count > 0])}
-    query_blocks = -(-int(asked) // block)
 
     def ask(batches):
         live = np.flatnonzero(count)
@@ -140,21 +139,27 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
             at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(live) - 1)
             bound = np.where(enough.any(axis=1), np.take_along_axis(low, order, 1)[np.arange(len(x)), at], -np.inf)
             out = []
-            for i, (vec_id, q) in enumerate(zip(df["vec_id"], df["q"], strict=True)):
+            for i, (vec_id, q, qb) in enumerate(zip(df["vec_id"], df["q"], df["qb"], strict=True)):
                 for c in np.unique(cell[live[high[i] >= bound[i]]]):
-                    out += [(vec_id, q, int(c), part) for part in range(cells_parts[int(c)])]
-            yield pd.DataFrame(out, columns=["query_id", "q", "cell", "part"])
-
-    queries = placed.filter(is_query).groupBy("vec_id").agg(F.min("q").alias("q"), F.count("*").alias("own"))
-    asks = queries.mapInPandas(ask, "query_id long, q array<long>, cell long, part long").withColumn(
-        "qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))
-    )
+                    out += [(vec_id, q, int(c), part, qb) for part in range(cells_parts[int(c)])]
+            yield pd.DataFrame(out, columns=["query_id", "q", "cell", "part", "qb"])
+
+    # blocks of queries: neighbours in the chain share one, and a region with many queries has some of its own
+    own = {r["region"]: r["n"] for r in placed.filter(is_query).groupBy("region").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    ends = np.cumsum([own.get(j, 0) for j in range(len(pivots))])
+    first = (ends - [own.get(j, 0) for j in range(len(pivots))]) // block
+    dealt = spark.createDataFrame([(j, int(first[j]), int(max(1, -(-int(ends[j]) // block) - first[j]))) for j in range(len(pivots))], "region long, first_block long, blocks long")
+    queries = placed.filter(is_query).groupBy("vec_id").agg(F.min_by(F.struct("q", "region"), "q").alias("at"), F.count("*").alias("own"))
+    queries = queries.select("vec_id", "own", "at.*").join(F.broadcast(dealt), "region")  # a row a pivot
+    queries = queries.select("vec_id", "own", "q", (F.col("first_block") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).alias("qb"))
+    asks = written(queries.mapInPandas(ask, "query_id long, q array<long>, cell long, part long, qb long"), "asks")
     lookup = spark.createDataFrame([(j, int(cell[j]), cells_parts.get(int(cell[j]), 1)) for j in range(len(pivots))], "region long, cell long, parts long")
     rows_in = (
         placed.join(F.broadcast(lookup), "region")  # a row a pivot
         .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        .select("vec_id", "q", "cell", "part", F.col("qb").cast("long").alias("qb"))
+        .join(asks.groupBy("cell", "part", F.col("qb").alias("asking")).agg(F.lit(1)).select("cell", "part", "asking"), ["cell", "part"])
+        .withColumnRenamed("asking", "qb")
+        .select("vec_id", "q", "cell", "part", "qb")
     )
 
     def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

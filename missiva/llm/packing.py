@@ -1,7 +1,7 @@
 """Operator 4, packing: concatenate and cut.
 
-First pass: texts become token ids, one worker task at a time, and go to the shared folder as two bytes (or four) an id
-with the task's number and each document's offset within the task. The tasks' token totals, one row a task, are summed
+First pass: texts become token ids, one worker task at a time, and go to the shared folder as ``id_bytes`` bytes an id (two;
+four for vocabularies of over 65,536 pieces, whose ids would else be refused with an error) with the task's number and each document's offset within the task. The tasks' token totals, one row a task, are summed
 in prefix to give each task's global offset. Second pass: each document knows where it begins in the one long stream;
 windows of ``length`` cut it there, and every piece carries its sequence and offset, so a sequence is its pieces in
 order. Only the very last sequence is not full.
@@ -93,8 +93,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, special: bool = False) -> DataFrame:
-    """doc_id, part (the task), begin (tokens before it in the task), n, ids (little-endian unsigned 16-bit)."""
+def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, special: bool = False, id_bytes: int = 2) -> DataFrame:
+    """doc_id, part (the task), begin (tokens before it in the task), n, ids (little-endian, unsigned, of id_bytes each)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -103,7 +103,7 @@ def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = E
         for ids, texts in _slices(batches):
             begins, counts, packed = [], [], []
             for text in texts:
-                tokens = np.array([*token_ids(text, vocabulary, special), end_id], dtype="<u2")
+                tokens = np.array([*token_ids(text, vocabulary, special), end_id], dtype=f"<u{id_bytes}")
                 begins.append(at)
                 counts.append(len(tokens))
                 packed.append(tokens.tobytes())
@@ -117,9 +117,9 @@ def tokenised(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = E
     return written(narrow.mapInArrow(encode, "doc_id long, part long, begin long, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False, special: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False, special: bool = False, id_bytes: int = 2) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids (binary)."""
-    tokens = tokenised(docs, vocabulary=vocabulary, end_id=end_id, special=special)
+    tokens = tokenised(docs, vocabulary=vocabulary, end_id=end_id, special=special, id_bytes=id_bytes)
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task of the first pass
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_ID, vocabul
                 part = batch.slice(low, 1000)
                 out: list[tuple] = []
                 for doc_id, first, n, packed in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    wide = np.frombuffer(packed, "<u2").astype("<u4").tobytes()
+                    wide = np.frombuffer(packed, f"<u{id_bytes}").astype("<u4").tobytes()
                     at = 0
                     while at < n:
                         sequence, offset = divmod(first + at, length)

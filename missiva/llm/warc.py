@@ -2,9 +2,10 @@
 
 * Payload digests (SHA-1) are taken where the pages are read; the smallest facts (digest, page_id) are grouped, the
   largest page_id of each digest of at least ``min_revisit_bytes`` is its response, the others revisit it.
-* Shard borders are quantiles of a bounded hash sample of page_ids, so that reruns cut alike. The pages and the facts on
-  them travel in one stream, sorted by shard and page_id, so that each page's facts arrive just before it: html is
-  shuffled once and nothing is joined to it.
+* Shard borders are quantiles, by bytes, of a hash sample of page_ids (SAMPLE rows, or PER_SHARD a shard if that is more),
+  so that reruns cut alike and shards are even. Each shard is a range of page_ids and one partition; rows without a
+  page_id have shards of their own, by digest. The pages and the facts on them travel in one stream, sorted within the
+  shard, so that each page's facts arrive just before it: html is shuffled once and nothing is joined to it.
 * A task writes each shard's records as gzip members of their own, with headers and digests made anew, and rolls to a
   new file at ``roll_bytes`` compressed bytes. A file is written under a temporary name of its task attempt and renamed
   when whole; the manifest, a table with a row per file, is committed by Spark and names the files that count. A lost
@@ -13,7 +14,7 @@
 Archives are written through pyarrow's file systems (file, hdfs, s3, gs) and read by Spark's binaryFile source.
 
 Defined results: a null html is an empty payload; a null url is written as ``urn:none``; rows without a page_id come
-first, and can't be referred to; rows with equal page_id and payload are each written, one response and the others
+last, and can't be referred to; rows with equal page_id and payload are each written, one response and the others
 revisits of it where the digest's largest page_id is theirs; extra columns are not read; an empty table writes none.
 """
 
@@ -39,6 +40,7 @@ ROLL_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 0
 SAMPLE = 20_000
+PER_SHARD = 4
 NAMESPACE = uuid.UUID("6f1f6b0e-53a5-4d52-9d0c-6d3a0c1b7a11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -95,13 +97,18 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _borders(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """page_ids that begin a shard: quantiles of a hash sample of at most SAMPLE page_ids, for shards of about shard_bytes."""
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+def _borders(pages: DataFrame, shard_bytes: int) -> tuple[list[int], int]:
+    """The page_ids that begin a shard, for shards of about shard_bytes, and the number of shards of rows without page_id."""
+    size = F.octet_length("html").cast("long")
+    named = F.col("page_id").isNotNull()
+    rows, total, rest = pages.agg(F.count_if(named), F.coalesce(F.sum(F.when(named, size)), F.lit(0)), F.coalesce(F.sum(F.when(~named, size + 1)), F.lit(0))).first()
     shards = max(1, -(-int(total) // shard_bytes))
-    drawn = pages.filter("page_id is not null").select(F.xxhash64("page_id").alias("h"), "page_id").orderBy("h", "page_id").limit(SAMPLE).collect()
-    ids = sorted(r["page_id"] for r in drawn)
-    return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
+    share = min(1.0, max(SAMPLE, PER_SHARD * shards) / max(1, rows))
+    drawn = pages.filter(named & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("page_id", (size + 1).alias("n")).toPandas()
+    drawn = drawn.sort_values(["page_id", "n"])
+    ends = drawn["n"].cumsum().to_numpy()
+    at = np.searchsorted(ends, [ends[-1] * i / shards for i in range(1, shards)]) if len(drawn) else []
+    return sorted({int(drawn["page_id"].iloc[i]) for i in at}), -(-int(rest) // shard_bytes)
 
 
 def write_archives(pages: DataFrame, path: str, *, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -114,11 +121,11 @@ def write_archives(pages: DataFrame, path: str, *, roll_bytes: int = ROLL_BYTES,
     facts = base.select("page_id", "digest", F.octet_length("html").alias("n"))
     firsts = facts.filter(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).filter("copies > 1")
     refs = facts.join(firsts, "digest").groupBy("page_id", "digest").agg(F.first("response").alias("response")).filter("response is not null")
-    borders = _borders(base, shard_bytes)
+    borders, nameless = _borders(base, shard_bytes)
     stream = (
         base.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("response"))
         .unionByName(refs.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "response"))
-        .withColumn("shard", _shard_of("page_id", borders))
+        .withColumn("shard", F.when(F.col("page_id").isNotNull(), _shard_of("page_id", borders)).otherwise(len(borders) + 1 + F.pmod(F.xxhash64("digest"), F.lit(max(1, nameless)))))
     )
     sort = ["shard", "page_id", "digest", "kind", "url"]
 
@@ -178,7 +185,7 @@ def write_archives(pages: DataFrame, path: str, *, roll_bytes: int = ROLL_BYTES,
 
     manifest = (
         stream.select("shard", "page_id", "digest", "kind", "url", "html", "response")
-        .repartition(len(borders) + 1, "shard")
+        .repartitionById(len(borders) + 1 + nameless, F.col("shard").cast("int"))
         .sortWithinPartitions(*sort)
         .mapInArrow(write, "file string, shard long, roll long, records long, bytes long, sha1 string, first_page long, last_page long")
     )
