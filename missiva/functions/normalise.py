@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +35,47 @@ MONTH_ALTERNATIVES = (
     "janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre"
 )
 
+# Repairs as (pattern, replacement, flags), in the order in which they are made.
+YEARS = ((r"\b20[6-9]6\b", "2026", ""), (r"\b[6-9]026\b", "2026", ""), (r"(?<![\d])4(20[2-9]\d)\b", "$1", ""))
+FRENCH_TEXT = (
+    (r"CADI\s+AW?A?Y?A?D", "CADI AYYAD", "i"),
+    (r"\bCRl[\s\-]", "CRI-", ""),
+    (r"\bN\s*['\"`´]\s*(?=[\s:.]*\d)", "N° ", ""),
+    (r"(\b\d{1,2}\s+)AR(\.|\\s)", "$1AVR$2", ""),
+    (r"\b[ÀÂA][VY]R(?:IL)?\b", "AVR", "i"),
+    (r"\b(\d{1,2})\s+MR\.?\s+(20\d{2})\b", "$1 AVR $2", ""),
+    (r"\b(\d)\s+(\d)\s+(AVR|JAN|FEV|MAR|MAI|JUIN|JUIL|AOU|SEP|OCT|NOV|DEC)\b", "$1$2 $3", "i"),
+    (rf"(\b(?:{MONTH_ALTERNATIVES})\.?\s+)9(0\d{{2}})\b", "$12$2", "i"),
+)
+FRENCH_SCAN = (
+    (r"CADI\s+AW?A?Y?A?D", "CADI AYYAD", "i"),
+    (r"\bCRl(?=\s|\-|$)", "CRI", "i"),
+    (r"\bN\s*['\"`´]\s*(?=[\s:.]*\d)", "N° ", "i"),
+    (r"(\b\d{1,2}\s+)AR(\.|\s)", "$1AVR$2", "i"),
+    (r"\b(JAN|FEV|MAR|AVR|MAI|JUI|AOU|SEP|OCT|NOV|DEC)\.?\s+9(0\d{2})\b", "$1. 2$2", "i"),
+)
+UNIVERSITY = (r"القاض[ى]\s+عياض", "القاضي عياض", "")
+TO, ON = (r"(?<=\s)إلي(?=\s)", "إلى", ""), (r"(?<=\s)علي(?=\s)", "على", "")
+ARABIC_TEXT = (
+    UNIVERSITY,
+    TO,
+    ON,
+    *((wrong + r"\b", right, "") for wrong, right in ENDINGS_TEXT),
+    *((wrong, right, "") for wrong, right in ARABIC_BOTH),
+    *((rf"\b{wrong}\b", right, "") for wrong, right in HAMZA_TEXT),
+    (r"\bرئاسئ\b", "رئاسة", ""),
+)
+ARABIC_SCAN = (
+    *((rf"\b{wrong}\b", right, "") for wrong, right in ENDINGS_SCAN),
+    UNIVERSITY,
+    *((wrong, right, "") for wrong, right in ARABIC_BOTH),
+    TO,
+    *((rf"\b{wrong}\b", right, "") for wrong, right in HAMZA_SCAN),
+)
+STAMP_DAYS = ((r"\b(\d)\s+(\d)\s+(AVR|JAN|FEV|MAR|MAI|JUI|AOU|SEP|OCT|NOV|DEC)", "$1$2 $3", "i"),)
+MARKS = (("ـ+", "", ""), (HARAKAT, "", ""), ("﷽", "بسم الله الرحمن الرحيم", ""), *((rf"\s*{mark}\s*", f"{mark} ", "") for mark in "،؛؟"))
+NOISE_LINES = ((r"^[\s\-_.=·•]+$", "", "m"),)
+SPACES = ((r"[ \t]+", " ", ""), (r"\n{4,}", "\n\n\n", ""))
 
 #: Characters that composition leaves alone wherever they stand: all below U+0300, Arabic letters without marks, common
 #: punctuation. A text of these alone is composed already.
@@ -53,6 +95,10 @@ def nfc(t: Column) -> Column:
     return F.coalesce(_nfc(F.when(t.rlike(f"[^{COMPOSED}]"), t)), t)
 
 
+def repaired(t: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
+    return reduce(lambda text, rule: sub(text, *rule), rules, t)
+
+
 def quotes_dashes(t: Column) -> Column:
     return sub(F.translate(t, QUOTES, PLAIN_QUOTES), DASHES, "-")
 
@@ -69,89 +115,40 @@ def unflatten(t: Column) -> Column:
 
 
 def years(t: Column) -> Column:
-    return F.when(t.rlike("20[6-9]6|[6-9]026|420[2-9]"), _years(t)).otherwise(t)
-
-
-def _years(t: Column) -> Column:
-    t = sub(t, r"\b20[6-9]6\b", "2026")
-    t = sub(t, r"\b[6-9]026\b", "2026")
-    return sub(t, r"(?<![\d])4(20[2-9]\d)\b", "$1")
+    return F.when(t.rlike("20[6-9]6|[6-9]026|420[2-9]"), repaired(t, YEARS)).otherwise(t)
 
 
 def marks(t: Column) -> Column:
     """Tatweel and vowel marks go, the basmala ligature is spelt out, Arabic punctuation is spaced."""
-    return F.when(t.rlike(r"[\x{0600}-\x{06FF}\x{FDFD}]"), _marks(t)).otherwise(t)
-
-
-def _marks(t: Column) -> Column:
-    t = sub(sub(t, "ـ+", ""), HARAKAT, "")
-    t = F.replace(t, F.lit("﷽"), F.lit("بسم الله الرحمن الرحيم"))
-    for mark in "،؛؟":
-        t = sub(t, rf"\s*{mark}\s*", f"{mark} ")
-    return t
+    return F.when(t.rlike(r"[\x{0600}-\x{06FF}\x{FDFD}]"), repaired(t, MARKS)).otherwise(t)
 
 
 def noise_lines(t: Column) -> Column:
-    return sub(t, r"^[\s\-_.=·•]+$", "", "m")
+    return repaired(t, NOISE_LINES)
 
 
 def spaces(t: Column) -> Column:
-    return sub(sub(t, r"[ \t]+", " "), r"\n{4,}", "\n\n\n")
+    return repaired(t, SPACES)
 
 
 def french_text(t: Column) -> Column:
-    t = sub(t, r"CADI\s+AW?A?Y?A?D", "CADI AYYAD", "i")
-    t = sub(t, r"\bCRl[\s\-]", "CRI-")
-    t = sub(t, r"\bN\s*['\"`´]\s*(?=[\s:.]*\d)", "N° ")
-    t = sub(t, r"(\b\d{1,2}\s+)AR(\.|\\s)", "$1AVR$2")
-    t = sub(t, r"\b[ÀÂA][VY]R(?:IL)?\b", "AVR", "i")
-    t = sub(t, r"\b(\d{1,2})\s+MR\.?\s+(20\d{2})\b", "$1 AVR $2")
-    t = sub(t, r"\b(\d)\s+(\d)\s+(AVR|JAN|FEV|MAR|MAI|JUIN|JUIL|AOU|SEP|OCT|NOV|DEC)\b", "$1$2 $3", "i")
-    return sub(t, rf"(\b(?:{MONTH_ALTERNATIVES})\.?\s+)9(0\d{{2}})\b", "$12$2", "i")
+    return repaired(t, FRENCH_TEXT)
 
 
 def french_scan(t: Column) -> Column:
-    t = sub(t, r"CADI\s+AW?A?Y?A?D", "CADI AYYAD", "i")
-    t = sub(t, r"\bCRl(?=\s|\-|$)", "CRI", "i")
-    t = sub(t, r"\bN\s*['\"`´]\s*(?=[\s:.]*\d)", "N° ", "i")
-    t = sub(t, r"(\b\d{1,2}\s+)AR(\.|\s)", "$1AVR$2", "i")
-    return sub(t, r"\b(JAN|FEV|MAR|AVR|MAI|JUI|AOU|SEP|OCT|NOV|DEC)\.?\s+9(0\d{2})\b", "$1. 2$2", "i")
+    return repaired(t, FRENCH_SCAN)
 
 
 def arabic_text(t: Column) -> Column:
-    return F.when(has_arabic(t), _arabic_text(t)).otherwise(t)
-
-
-def _arabic_text(t: Column) -> Column:
-    t = sub(t, r"القاض[ى]\s+عياض", "القاضي عياض")
-    t = sub(sub(t, r"(?<=\s)إلي(?=\s)", "إلى"), r"(?<=\s)علي(?=\s)", "على")
-    for wrong, right in ENDINGS_TEXT:
-        t = sub(t, wrong + r"\b", right)
-    for wrong, right in ARABIC_BOTH:
-        t = sub(t, wrong, right)
-    for wrong, right in HAMZA_TEXT:
-        t = sub(t, rf"\b{wrong}\b", right)
-    return sub(t, r"\bرئاسئ\b", "رئاسة")
+    return F.when(has_arabic(t), repaired(t, ARABIC_TEXT)).otherwise(t)
 
 
 def arabic_scan(t: Column) -> Column:
-    return F.when(has_arabic(t), _arabic_scan(t)).otherwise(t)
-
-
-def _arabic_scan(t: Column) -> Column:
-    for wrong, right in ENDINGS_SCAN:
-        t = sub(t, rf"\b{wrong}\b", right)
-    t = sub(t, r"القاض[ى]\s+عياض", "القاضي عياض")
-    for wrong, right in ARABIC_BOTH:
-        t = sub(t, wrong, right)
-    t = sub(t, r"(?<=\s)إلي(?=\s)", "إلى")
-    for wrong, right in HAMZA_SCAN:
-        t = sub(t, rf"\b{wrong}\b", right)
-    return t
+    return F.when(has_arabic(t), repaired(t, ARABIC_SCAN)).otherwise(t)
 
 
 def stamp_days(t: Column) -> Column:
-    return sub(t, r"\b(\d)\s+(\d)\s+(AVR|JAN|FEV|MAR|MAI|JUI|AOU|SEP|OCT|NOV|DEC)", "$1$2 $3", "i")
+    return repaired(t, STAMP_DAYS)
 
 
 def normalise_text(t: Column) -> Column:

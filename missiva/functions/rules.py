@@ -207,3 +207,50 @@ BODY_ENDS = (
     r"\n\s*المرفقات",
     r"\n\s*Pi[eè]ces?\s+joint",
 )
+
+# Dates, scan profile: day, month, year; a numeric date counts in these years only.
+SCAN_DATE_ARABIC = rf"(\d{{1,2}})\s+({'|'.join(ARABIC_MONTHS)})\s+(\d{{4}})"
+SCAN_DATE_FRENCH = r"(\d{1,2})(?:er)?\s+([a-zA-ZéèêûôîÉÈÊÛÔÎ]+)\.?\s+(\d{4})"
+SCAN_DATE_STAMP = r"(\d{1,2})\s+([A-ZÉÈ]{3,4})\.?\s+(\d{4})"
+SCAN_DATE_NUMERIC = r"\b(\d{1,2})[\/\-\.](\d{1,2})[\/\-\.](\d{4})\b"
+SCAN_NUMERIC_YEARS = (2020, 2030)
+
+# letters' numbers, scan profile.
+NUMBER_SLASH = r"N[°ºoO]\s*[:.]?\s*(\d{2,4})\s*/\s*(\d{3,5})"
+NUMBER_BODY = r"N[°ºoO]\s*[:.]?\s*(\d{3,6})\s*/\s*(\d{2})\s*/\s*([A-Z\-]{2,10})"
+NUMBER_ARABIC = r"رقم\s*[:.]?\s*[/\\]?\s*(\d{2,4})[\s/\\]{0,10}[=\-_]?\s*(\d{2,5})"
+NUMBER_ARABIC_OTHER = r"العدد\s*[:.]?\s*(\d{3,6})\s*[/\\\-]\s*(\d{2,4})"
+NUMBER_ALONE = r"(?:N[°ºoO'\"]\s*[:.]?\s*|رقم\s*[:.]?\s*)[\s\n]*(\d{3,5})\b(?!\s*/)"
+NUMBER_ARABIC_ALONE = r"رقم\s*[:.]?\s*[/\\]?\s*(\d{3,5})"
+NUMBER_FRAMED = r"[=_\[]\s*(\d{4,5})\s*[=_\]\-]"
+
+# Subjects, scan profile, as (pattern, flags) in the order that decides between them; then what is enclosed.
+SUBJECT_WORD = r"[_\*\[\]\s]*(?:OBJET|[O0Ø][bB][jJiI][eE][tTlL])[_\*\[\]\s]*"
+SUBJECT_MARK = r"\s*[:;.,\-=]\s*"
+SUBJECT_ARABIC = r"ال[مم]و[ضصظط]و[عغ]\s*[:.]?\s*"
+SUBJECTS = (
+    (rf"(?:^|\n|[\.\!\?]\s+){SUBJECT_WORD}{SUBJECT_MARK}(.+?)(?:\n\n|\n\s*(?:Monsieur|Madame|Mesdames|Messieurs|Cher|· |\* )|$)", "is"),
+    (rf"(?:^|\n){SUBJECT_WORD}{SUBJECT_MARK}(.+?)(?:\n|$)", "im"),
+    (rf"(?:CADI\s+AYYAD|UNIVERSIT[EÉ]|Cher|Madame|Monsieur)\s+{SUBJECT_WORD}{SUBJECT_MARK}(.+?)(?:\n|$)", "i"),
+    (r"(?:^|\n)\s*[_\*]*\s*[Cc]oncern(?:e|ant)[_\*]*\s*[:;.\-]\s*(.+?)(?:\n|$)", "m"),
+    (rf"{SUBJECT_ARABIC}(.+?)(?:\n\n|\n\s*(?:سلام|وبعد|في\s+إطار|بناء\s+على|نتشرف|يشرفنا|تحية))", "s"),
+    (rf"{SUBJECT_ARABIC}(.+?)(?:\n|$)", ""),
+)
+SUBJECT_JOINT = r"[Vv]euillez\s+trouver\s+ci[\-\s]?joint\s*[,:.]?\s*\n+\s*(.+?)(?:\n\n|$)"
+SUBJECT_ENCLOSED = r"تجدون(?:ه)?\s+(?:طيه|رفقته)\s*[:.]?\s*\n+\s*(.+?)(?:\n\n|$)"
+
+# Recipients and senders, scan profile.
+RECIPIENT_FRENCH = r"(?:^|\n)\s*[AÀ]\s*\n\s*((?:Monsieur|Madame|Mesdames|Messieurs|MONSIEUR|MADAME)\s+(?:le|la|les|LE|LA|LES)?\s*\w+[^\n]{0,200})"
+RECIPIENT_ARABIC = (
+    r"إلى\s*[\n\s]+((?:السيد|السيدة|السيدتين|السادة|السيدات|الأستاذ|الأستاذة|الدكتور|رؤساء|عمداء|مديري|أعضاء)[^\n]{5,250}(?:\n[^\n]{3,150})?)"
+)
+RECIPIENT_FREE = r"إلى\s*\n+\s*([^\n]{15,300})(?:\n([^\n]{5,200}))?"
+RECIPIENT_NAMES = "السيد|السيدة|السيدتين|السادة|السيدات|رئيس|رؤساء|عميد|عمداء|مدير|مديري|المؤسسات|الكليات|الجامعة"
+RECIPIENT_OVER = r"\A\s*(?:الموضوع|ال[مم]و[ضصظط]و[عغ]|سلام|وبعد|في\s+إطار)"
+RECIPIENT_LABEL = r"[Dd]estinataire\s*[:.]\s*(.+?)(?:\n|$)"
+RECIPIENT_ENDS = r"\s+(?:Objet|OBJET|Bordereau|BORDEREAU|الموضوع|ال[مم]و[ضصظط]و[عغ]|Nature|Nombre|Veuillez)\s*[:\s]"
+SENDER_TITLED = r"من\s+(?:السيد|السيدة)?\s*(عميد|عميدة|مدير|مديرة|رئيس|نائب\s+رئيس)\s+([^\n]{5,100})"
+SENDER_PRESIDENT = r"من\s+السيد\s+رئيس\s+الجامعة"
+
+# Where a letter's body begins, scan profile.
+BODY_OPENING = r"(?:Objet|الموضوع|ال[مم]و[ضصظط]و[عغ])\s*[:.]\s*[^\n]+\n+"

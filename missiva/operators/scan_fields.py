@@ -38,11 +38,6 @@ def stamp_zone(t: Column) -> Column:
 
 def date_in(t: Column) -> Column:
     """``DD month YYYY`` of the first rule that gives one."""
-    months = "|".join(R.ARABIC_MONTHS)
-    arabic = rf"(\d{{1,2}})\s+({months})\s+(\d{{4}})"
-    french = r"(\d{1,2})(?:er)?\s+([a-zA-ZéèêûôîÉÈÊÛÔÎ]+)\.?\s+(\d{4})"
-    stamp = r"(\d{1,2})\s+([A-ZÉÈ]{3,4})\.?\s+(\d{4})"
-    numeric = r"\b(\d{1,2})[\/\-\.](\d{1,2})[\/\-\.](\d{4})\b"
 
     def said(pattern: str, month: Callable[[Column, Column], Column]) -> Column:
         def sentence(g: Column) -> Column:
@@ -53,32 +48,27 @@ def date_in(t: Column) -> Column:
         return let(groups(t, pattern, 3), sentence)
 
     def by_number(number: Column, year: Column) -> Column:
-        fits = number.cast("int").between(1, 12) & year.cast("int").between(2020, 2030)
+        fits = number.cast("int").between(1, 12) & year.cast("int").between(*R.SCAN_NUMERIC_YEARS)
         return F.when(fits, F.get(F.array(*map(F.lit, R.MONTHS)), number.cast("int") - 1))
 
     return F.coalesce(
-        F.when(has_arabic(t), said(arabic, lambda name, year: mapped(name, R.ARABIC_MONTHS))),
-        said(french, lambda name, year: mapped(F.lower(name), R.MONTH_NAMES)),
-        said(stamp, lambda name, year: mapped(F.upper(name), R.MONTH_STAMPS)),
-        said(numeric, by_number),
+        F.when(has_arabic(t), said(R.SCAN_DATE_ARABIC, lambda name, year: mapped(name, R.ARABIC_MONTHS))),
+        said(R.SCAN_DATE_FRENCH, lambda name, year: mapped(F.lower(name), R.MONTH_NAMES)),
+        said(R.SCAN_DATE_STAMP, lambda name, year: mapped(F.upper(name), R.MONTH_STAMPS)),
+        said(R.SCAN_DATE_NUMERIC, by_number),
     )
 
 
 def numero(t: Column, head: Column) -> Column:
     """The candidates in the order of their scores, 90 to 60."""
-    slash = r"N[°ºoO]\s*[:.]?\s*(\d{2,4})\s*/\s*(\d{3,5})"
-    body = r"N[°ºoO]\s*[:.]?\s*(\d{3,6})\s*/\s*(\d{2})\s*/\s*([A-Z\-]{2,10})"
-    arabic = r"رقم\s*[:.]?\s*[/\\]?\s*(\d{2,4})[\s/\\]{0,10}[=\-_]?\s*(\d{2,5})"
-    other = r"العدد\s*[:.]?\s*(\d{3,6})\s*[/\\\-]\s*(\d{2,4})"
-    alone = r"(?:N[°ºoO'\"]\s*[:.]?\s*|رقم\s*[:.]?\s*)[\s\n]*(\d{3,5})\b(?!\s*/)"
     return F.coalesce(
-        _joined(head, slash, 2),
-        _joined(head, body, 3),
-        F.when(F.length(group(t, arabic, 2)) >= 3, _joined(t, arabic, 2)),
-        _joined(t, other, 2),
-        group(head, alone),
-        group(t, r"رقم\s*[:.]?\s*[/\\]?\s*(\d{3,5})"),
-        group(head, r"[=_\[]\s*(\d{4,5})\s*[=_\]\-]"),
+        _joined(head, R.NUMBER_SLASH, 2),
+        _joined(head, R.NUMBER_BODY, 3),
+        F.when(F.length(group(t, R.NUMBER_ARABIC, 2)) >= 3, _joined(t, R.NUMBER_ARABIC, 2)),
+        _joined(t, R.NUMBER_ARABIC_OTHER, 2),
+        group(head, R.NUMBER_ALONE),
+        group(t, R.NUMBER_ARABIC_ALONE),
+        group(head, R.NUMBER_FRAMED),
     )
 
 
@@ -97,20 +87,9 @@ def clean_objet(s: Column) -> Column:
 
 
 def objet(t: Column) -> Column:
-    word = r"[_\*\[\]\s]*(?:OBJET|[O0Ø][bB][jJiI][eE][tTlL])[_\*\[\]\s]*"
-    mark = r"\s*[:;.,\-=]\s*"
-    subject = r"ال[مم]و[ضصظط]و[عغ]\s*[:.]?\s*"
-    joint = clean_objet(group(t, r"[Vv]euillez\s+trouver\s+ci[\-\s]?joint\s*[,:.]?\s*\n+\s*(.+?)(?:\n\n|$)", 1, "s"))
-    return F.coalesce(
-        clean_objet(group(t, rf"(?:^|\n|[\.\!\?]\s+){word}{mark}(.+?)(?:\n\n|\n\s*(?:Monsieur|Madame|Mesdames|Messieurs|Cher|· |\* )|$)", 1, "is")),
-        clean_objet(group(t, rf"(?:^|\n){word}{mark}(.+?)(?:\n|$)", 1, "im")),
-        clean_objet(group(t, rf"(?:CADI\s+AYYAD|UNIVERSIT[EÉ]|Cher|Madame|Monsieur)\s+{word}{mark}(.+?)(?:\n|$)", 1, "i")),
-        clean_objet(group(t, r"(?:^|\n)\s*[_\*]*\s*[Cc]oncern(?:e|ant)[_\*]*\s*[:;.\-]\s*(.+?)(?:\n|$)", 1, "m")),
-        clean_objet(group(t, rf"{subject}(.+?)(?:\n\n|\n\s*(?:سلام|وبعد|في\s+إطار|بناء\s+على|نتشرف|يشرفنا|تحية))", 1, "s")),
-        clean_objet(group(t, rf"{subject}(.+?)(?:\n|$)")),
-        F.when(~F.lower(joint).rlike("^(nature|nombre)"), joint),
-        clean_objet(group(t, r"تجدون(?:ه)?\s+(?:طيه|رفقته)\s*[:.]?\s*\n+\s*(.+?)(?:\n\n|$)", 1, "s")),
-    )
+    found = [clean_objet(group(t, pattern, 1, flags)) for pattern, flags in R.SUBJECTS]
+    joint = clean_objet(group(t, R.SUBJECT_JOINT, 1, "s"))
+    return F.coalesce(*found, F.when(~F.lower(joint).rlike("^(nature|nombre)"), joint), clean_objet(group(t, R.SUBJECT_ENCLOSED, 1, "s")))
 
 
 def type_document(t: Column) -> Column:
@@ -133,8 +112,7 @@ def etablissement(zone: Column) -> Column:
 
 def expediteur(t: Column, zone: Column, body: Column) -> Column:
     """zone: sender_zone(t); body: etablissement(zone)."""
-    titled = r"من\s+(?:السيد|السيدة)?\s*(عميد|عميدة|مدير|مديرة|رئيس|نائب\s+رئيس)\s+([^\n]{5,100})"
-    name = strip(group(t, titled, 1))
+    name = strip(group(t, R.SENDER_TITLED, 1))
     opening = F.substring(t, 1, 1500)
     arabic = has_arabic(zone)
     institution = F.when(~_presidency(zone), best_name(zone, R.INSTITUTIONS, "i", arabic))
@@ -144,8 +122,8 @@ def expediteur(t: Column, zone: Column, body: Column) -> Column:
         .when(body.contains("Présidence"), "Le Président")
     )
     in_arabic = F.coalesce(
-        F.when(has(t, r"من\s+السيد\s+رئيس\s+الجامعة"), R.PRESIDENT),
-        F.concat(F.coalesce(mapped(name, R.ARABIC_TITLES), name), F.lit(" de "), strip(group(t, titled, 2))),
+        F.when(has(t, R.SENDER_PRESIDENT), R.PRESIDENT),
+        F.concat(F.coalesce(mapped(name, R.ARABIC_TITLES), name), F.lit(" de "), strip(group(t, R.SENDER_TITLED, 2))),
         F.when(has(opening, r"رئيس\s+الجامعة") & has(opening, r"رئاسة|الرئاسة|جامعة\s+القاض[يى]\s+عياض"), R.PRESIDENT),
     )
     return F.coalesce(
@@ -188,10 +166,9 @@ SCAN_SMALL_WORDS = ("LE", "LA", "LES", "DE", "DU", "DES")
 def clean_destinataire(raw: Column) -> Column:
     s = sub(strip(raw), r"\A[\|\s«»\-,]+", "")
     s = sub(sub(sub(s, r"\n+", ", "), r"\s+", " "), r"[\s,]+\z", "")
-    marks = r"\s+(?:Objet|OBJET|Bordereau|BORDEREAU|الموضوع|ال[مم]و[ضصظط]و[عغ]|Nature|Nombre|Veuillez)\s*[:\s]"
 
     def before_marks(x: Column) -> Column:
-        return before(x, marks)
+        return before(x, R.RECIPIENT_ENDS)
 
     def finished(x: Column) -> Column:
         latin = before_marks(strip(sub(sub(x, r"[\x{0600}-\x{06FF}]+", ""), r"\s+", " ")))
@@ -201,24 +178,19 @@ def clean_destinataire(raw: Column) -> Column:
 
 
 def destinataire(t: Column) -> Column:
-    french = r"(?:^|\n)\s*[AÀ]\s*\n\s*((?:Monsieur|Madame|Mesdames|Messieurs|MONSIEUR|MADAME)\s+(?:le|la|les|LE|LA|LES)?\s*\w+[^\n]{0,200})"
-    arabic = r"إلى\s*[\n\s]+((?:السيد|السيدة|السيدتين|السادة|السيدات|الأستاذ|الأستاذة|الدكتور|رؤساء|عمداء|مديري|أعضاء)[^\n]{5,250}(?:\n[^\n]{3,150})?)"
-    free = r"إلى\s*\n+\s*([^\n]{15,300})(?:\n([^\n]{5,200}))?"
-    names = "السيد|السيدة|السيدتين|السادة|السيدات|رئيس|رؤساء|عميد|عمداء|مدير|مديري|المؤسسات|الكليات|الجامعة"
-    line, following = strip(group(t, free, 1)), non_empty(group(t, free, 2))
-    more = F.when(~has(following, r"\A\s*(?:الموضوع|ال[مم]و[ضصظط]و[عغ]|سلام|وبعد|في\s+إطار)"), strip(following))
-    in_arabic = F.coalesce(clean_destinataire(group(t, arabic)), F.when(has(line, names), clean_destinataire(F.concat_ws(" ", line, more))))
+    line, following = strip(group(t, R.RECIPIENT_FREE, 1)), non_empty(group(t, R.RECIPIENT_FREE, 2))
+    more = F.when(~has(following, R.RECIPIENT_OVER), strip(following))
+    in_arabic = F.coalesce(clean_destinataire(group(t, R.RECIPIENT_ARABIC)), F.when(has(line, R.RECIPIENT_NAMES), clean_destinataire(F.concat_ws(" ", line, more))))
     return F.coalesce(
-        clean_destinataire(group(t, french)),
+        clean_destinataire(group(t, R.RECIPIENT_FRENCH)),
         F.when(has_arabic(t), in_arabic),
-        clean_destinataire(group(t, r"[Dd]estinataire\s*[:.]\s*(.+?)(?:\n|$)")),
+        clean_destinataire(group(t, R.RECIPIENT_LABEL)),
     )
 
 
 def corps(t: Column) -> Column:
     """What stands between the subject's line and the closing formula."""
-    opening = r"(?:Objet|الموضوع|ال[مم]و[ضصظط]و[عغ])\s*[:.]\s*[^\n]+\n+"
-    body = sub(strip(before(after(t, opening, "i"), either(R.BODY_ENDS))), r"\n{3,}", "\n\n")
+    body = sub(strip(before(after(t, R.BODY_OPENING, "i"), either(R.BODY_ENDS))), r"\n{3,}", "\n\n")
     return let(F.when(F.length(t) >= 50, body), lambda b: F.when(F.length(b) > 30, b))
 
 
