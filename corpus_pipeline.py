@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.llm import jaccard, line_dedup, mixing, packing, quality
-from missiva.llm.common import table, written
+from missiva.llm.common import SPACES, drop, table, written
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -21,27 +21,50 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail a rule go; documents that fail the base conditions or lose over half of their words go."""
+    """Lines that fail a rule go; documents that fail the base conditions or lose over half of their words go.
+
+    Null and empty texts have too few words and go. Repeated rows are judged one by one. Columns other than text and
+    n_chars stay as they are, null or not. An empty table stays empty.
+    """
     return _with_text(quality.quality(docs, keep_columns=True).filter("kept"), docs.columns, "cleaned")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; every document stays, with what is left of it."""
-    return _with_text(line_dedup.deduplicated_lines(docs, keep_columns=True), docs.columns, "kept_text")
+    """Lines that an earlier document holds go, and with them documents of which no word is left.
+
+    Such a document held nothing but lines of earlier ones. Documents that had no word before (null texts among them)
+    stay as they are; so do rows with a null doc_id but for lines that other documents hold (null counts as the largest
+    doc_id). Repeated rows are treated alike. Other columns stay. An empty table stays empty.
+    """
+    rows = line_dedup.deduplicated_lines(docs, keep_columns=True)
+    emptied = (F.col("n_dropped") > 0) & (F.btrim("kept_text", F.lit(SPACES)) == "")
+    return _with_text(rows.filter(~emptied), docs.columns, "kept_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the least doc_id."""
+    """One document of each component of near duplicates stays, that with the least doc_id.
+
+    Rows without words (null texts among them) all stay. Of rows with equal doc_id and text one stays; of ties of doc_id
+    the text with the least hash. A null doc_id counts as the largest. Other columns stay. An empty table stays empty.
+    """
     return jaccard.without_near_duplicates(docs)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, which may be never.
+
+    A null source is a source of its own, the last. Null and empty texts have size 0 and are taken at their source's
+    rate. Rows with the same doc_id draw alike, null ones among them. Other columns stay. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences: doc_id (null stays null), places, lengths and digests.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; columns other than doc_id and text are not
+    read. An empty table gives no pieces.
+    """
     return packing.pack(docs, special=True)
 
 
@@ -58,7 +81,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed corpus; a stage's table goes when the next stage has been written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return docs
