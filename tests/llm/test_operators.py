@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows and empty tables."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -78,12 +79,8 @@ def test_quality_lines(spark):
     assert out[2].cleaned == clean and out[2].lost_words == 0
 
 
-def test_mixing(docs, rows, none):
-    out = mixing.mix(docs).collect()
-    sizes = defaultdict(int)
-    for r in rows:
-        sizes[r[3]] += len(WORD.findall(r[1] or ""))
-    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+def source_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
     total, capped = 1.5 * sum(sizes.values()), set()
     while True:
@@ -92,10 +89,16 @@ def test_mixing(docs, rows, none):
         share = {s: left * weights[s] / sum(weights[x] for x in rest) for s in rest}
         over = {s for s in rest if share[s] > 2 * sizes[s]}
         if not over:
-            break
+            return {s: 2 * sizes[s] if s in capped else share[s] for s in order}
         capped |= over
-    targets = {s: 2 * sizes[s] if s in capped else share[s] for s in order}
-    by_size = {sizes[s]: targets[s] for s in order}
+
+
+def test_mixing(docs, rows, none):
+    out = mixing.mix(docs).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    by_size = {sizes[s]: t for s, t in source_targets(sizes).items()}
     for r in out:
         assert abs(r.target - by_size[r.source_size]) < 1e-6 and r.taken in (0, r.size, 2 * r.size)
     assert len(out) == len(rows)
@@ -104,23 +107,29 @@ def test_mixing(docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_line_dedup(docs, rows, none):
+def without_shared_lines(pairs):
+    """(lines, dropped lines, text left) for each (doc_id, text)."""
+
     def key(line):
         return re.sub(r"[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
 
-    last = 1 << 63
+    pairs = [(1 << 63 if d is None else d, t) for d, t in pairs]
     holders = defaultdict(set)
-    for r in rows:
-        for line in (r[1] or "").split("\n"):
-            holders[key(line)].add(last if r[0] is None else r[0])
-
-    def expected(doc_id, text):
+    for d, text in pairs:
+        for line in (text or "").split("\n"):
+            holders[key(line)].add(d)
+    out = []
+    for d, text in pairs:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (len(key(x)) >= 10 and len(holders[key(x)]) >= 2 and min(holders[key(x)]) != (last if doc_id is None else doc_id))]
-        return (doc_id, len(lines), len(lines) - len(kept), "\n".join(kept))
+        kept = [x for x in lines if not (len(key(x)) >= 10 and len(holders[key(x)]) >= 2 and min(holders[key(x)]) != d)]
+        out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
 
+def test_line_dedup(docs, rows, none):
     out = line_dedup.deduplicated_lines(docs).select("doc.doc_id", "n_lines", "n_dropped", "kept_text").collect()
-    assert Counter(map(tuple, out)) == Counter(expected(r[0], r[1]) for r in rows)
+    want = without_shared_lines([(r[0], r[1]) for r in rows])
+    assert Counter(map(tuple, out)) == Counter((r[0], *x) for r, x in zip(rows, want, strict=True))
     three = line_dedup.deduplicated_lines(docs, min_docs=3)
     assert three.agg(F.sum("n_dropped")).first()[0] <= sum(r.n_dropped for r in out)
     assert line_dedup.deduplicated_lines(none).count() == 0
@@ -259,6 +268,14 @@ def test_warc(spark):
         groups[html or ""].append(p)
     out = warc.round_trip(df, roll_bytes=2000, shard_bytes=20000).collect()
     assert len(out) == len(pages)
+    sha1 = {h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in groups}
+    newest = {h: max((p for p in some if p is not None), default=None) for h, some in groups.items()}
+    of_digest = {d: h for h, d in sha1.items()}
+    assert Counter((r.page_id, r.payload_digest) for r in out) == Counter((p, sha1[html or ""]) for p, _, html, _ in pages)
+    for r in out:
+        html = of_digest[r.payload_digest]
+        assert r.payload_bytes == len(html.encode())
+        assert r.refers_to == (newest[html] if r.record_type == "revisit" else None)
     responses = Counter()
     for r in out:
         if r.record_type == "response":
@@ -272,6 +289,21 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_shards_are_ranges(spark):
+    """Shards part the page_ids into ranges of about equal bytes; rows without page_id have shards of their own."""
+    from missiva.llm.common import scratch_path
+
+    df = spark.range(400).selectExpr("if(id < 300, id * id, null) AS page_id", "'http://a' AS url", "repeat(cast(id AS string), 20 + cast(id % 7 AS int) * 30) AS html")
+    manifest = warc.write_archives(df, scratch_path(spark, "warc-test"), roll_bytes=1500, shard_bytes=15000).collect()
+    named = sorted((r for r in manifest if r.first_page is not None), key=lambda r: r.first_page)
+    assert all(a.last_page < b.first_page and a.shard <= b.shard for a, b in zip(named, named[1:]))
+    assert sum(r.records for r in manifest if r.first_page is None) == 100 and len({r.shard for r in manifest if r.first_page is None}) > 1
+    records = Counter()
+    for r in named:
+        records[r.shard] += r.records
+    assert len(records) > 5 and max(records.values()) < 4 * sorted(records.values())[len(records) // 2]
+
+
 def test_warc_is_deterministic(spark):
     df = spark.range(200).selectExpr("id AS page_id", "concat('http://a/', id) AS url", "repeat(cast(id % 9 AS string), 50) AS html")
     from missiva.llm.common import scratch_path
@@ -381,28 +413,35 @@ def test_counting_rows_is_repeating_them():
     assert np.allclose(toxicity.fit_logistic(x, counted[0], times=times.astype(float)), toxicity.fit_logistic(x[many], repeated[0]), atol=1e-4)
 
 
-def brute_components(rows):
+def members(pairs):
+    """(n_shingles, name of the component: a number) for each (doc_id, text)."""
+
     def shingles(text):
         ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
         n = min(5, len(ws))
         return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if ws else set()
 
-    sets = [(r[0], shingles(r[1])) for r in rows]
-    parent = list(range(len(rows)))
+    sets = [shingles(text) for _, text in pairs]
+    parent = list(range(len(pairs)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        a, b = sets[i][1], sets[j][1]
+    for i, j in itertools.combinations(range(len(pairs)), 2):
+        a, b = sets[i], sets[j]
         if a and b and 100 * len(a & b) >= 80 * len(a | b):
             parent[find(i)] = find(j)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def brute_components(rows):
+    out = members([(r[0], r[1]) for r in rows])
     names = defaultdict(list)
-    for i, (doc_id, _) in enumerate(sets):
-        names[find(i)].append(doc_id)
-    return Counter((d, len(s), min((x for x in names[find(i)] if x is not None), default=None)) for i, (d, s) in enumerate(sets))
+    for r, (_, c) in zip(rows, out, strict=True):
+        names[c].append(r[0])
+    return Counter((r[0], n, min((x for x in names[c] if x is not None), default=None)) for r, (n, c) in zip(rows, out, strict=True))
 
 
 def test_jaccard(docs, rows, none):
@@ -442,3 +481,80 @@ def test_windows_never_drop_a_link():
             y = np.unique(np.concatenate([x[keep], rng.integers(0, 2**63, int((~keep).sum() * 0.5), dtype=np.uint64)]))
             if len(y) and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
                 assert jaccard._may_link(jaccard.coordinates(x), len(x), jaccard.coordinates(y), len(y), 80)
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    texts = ["one two three four five six"] * 3 + ["", None, "seven eight nine ten eleven"]
+    rows = [(i, t, i * 10, "r", "w", None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `row` long, worded string, doc string, `a.b` string")
+    out = jaccard.without_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r["row"] for r in out.collect()) == [0, 30, 40, 50]
+
+
+def test_label_model_finds_the_posterior():
+    """Votes drawn from known accuracies: the posterior is near the one that those accuracies give, and copies of a voter count less."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.3
+    right, speak = np.array([0.9, 0.8, 0.75, 0.85]), np.array([0.8, 0.6, 0.7, 0.5])
+    votes = np.where(rng.random((4000, 4)) < right, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None]) * (rng.random((4000, 4)) < speak)
+    p, accuracy, correlation = toxicity.label_model(votes)
+    odds = np.log(0.3 / 0.7) + (votes * np.log(right / (1 - right))).sum(axis=1)
+    exact = 1 / (1 + np.exp(-odds))
+    assert np.abs(p - exact).mean() < 0.08 and np.mean((p > 0.5) == (exact > 0.5)) > 0.95
+    assert np.abs(accuracy - right).max() < 0.1 and np.abs(correlation - np.eye(4)).max() < 0.3
+    doubled = np.hstack([votes, votes[:, [2]], votes[:, [2]], votes[:, [2]]])
+    again, _, found = toxicity.label_model(doubled)
+    assert found[2, 4] > 0.95 and np.abs(again - exact).mean() < 0.15
+
+
+def test_logistic_fit_is_the_minimum():
+    rng = np.random.default_rng(5)
+    x, p = rng.normal(size=(300, 4)), rng.random(300)
+    w = toxicity.fit_logistic(x, p)
+
+    def loss(w):
+        z = x @ w[:-1] + w[-1]
+        return (np.log1p(np.exp(z)) - p * z).sum() + 0.05 * (w[:-1] ** 2).sum() + 0.0005 * w[-1] ** 2
+
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in rng.normal(size=(200, 5)) * 0.02)
+
+
+def segmentations(word, vocabulary):
+    """All ways to cut the word into pieces, as lists of their numbers."""
+    if not word:
+        return [[]]
+    return [[i, *rest] for x, i in vocabulary.items() if word.startswith(x) for rest in segmentations(word[len(x) :], vocabulary)]
+
+
+def test_pieces_are_fitted_as_by_enumeration():
+    vocabulary = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])}
+    words, counts = ["ab", "abba", "a", "babab"], np.array([3.0, 1.0, 2.0, 5.0])
+    p = np.full(len(vocabulary), 1 / len(vocabulary))
+    for rounds in (1, 2, 5):
+        want = p.copy()
+        for _ in range(rounds):
+            got = np.zeros(len(p))
+            for word, n in zip(words, counts, strict=True):
+                ways = segmentations("▁" + word, vocabulary)
+                weight = np.array([np.prod(want[w]) for w in ways])
+                for w, x in zip(ways, n * weight / weight.sum(), strict=True):
+                    np.add.at(got, w, x)
+            want = got / got.sum()
+        assert np.allclose(langid.fit_pieces(words, counts, vocabulary, rounds), want)
+
+
+def test_prediction_is_the_posterior(spark):
+    vocabulary = langid.pieces()
+    rng = np.random.default_rng(11)
+    table = np.vstack([rng.random((len(vocabulary), 3)), np.zeros((1, 3)), np.full((1, 3), langid.UNKNOWN)])
+    priors = np.log([0.5, 0.3, 0.2])
+    texts = ["the und", "été 12", "ab ab ab", "...", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in langid.predict(df, ["x", "y", "z"], priors, table).collect()}
+    for i, text in enumerate(texts[:3]):
+        total = priors.copy()
+        for word in re.findall(r"[^\W\d_]+", text):
+            total += np.log(sum(np.prod(table[w], axis=0) for w in segmentations("▁" + word, vocabulary)))
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert out[i].lang_pred == "xyz"[p.argmax()] and abs(out[i].score - p.max()) < 1e-9
+    assert out[3].lang_pred == out[4].lang_pred == "und" and out[3].score == 0
