@@ -82,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_chat_format": chat.ORACLE_SQL,
     "op6_exact_top_k": knn.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
 }

@@ -240,3 +240,16 @@ def round_trip(pages: DataFrame, **how) -> DataFrame:
     return read_archives(pages.sparkSession, path)
 
 
+#: Base32 by groups of five hex digits, which are four base32 digits.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT) >> b) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest
+  FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM m
+"""
