@@ -83,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": chat.ORACLE_SQL,
     "op6_exact_top_k": knn.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op10_jaccard_join": jaccard.ORACLE_SQL,
 }
