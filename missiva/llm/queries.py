@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import chat, jaccard, knn, langid, line_dedup, mixing, packing, quality, toxicity, warc
+from missiva.llm import chat, jaccard, knn, langid, line_dedup, mixing, packing, quality, token_counts, toxicity, warc
 from missiva.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "comp", "text_hash")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_toxicity,
         op10_jaccard_join,
+        op11_token_counts,
     )
 }
 
