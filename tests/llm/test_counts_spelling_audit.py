@@ -1,10 +1,13 @@
 """Token counts, spelling variants and the source audit against brute force."""
 
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from missiva.llm import token_counts
+from missiva.llm import source_audit, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, row long, n string, word string, k string"
 
@@ -58,3 +61,50 @@ def test_vocabularies_that_keep_white_space_are_refused(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(ValueError):
         token_counts.token_counts(docs, vocabulary=token_counts.vocabulary_path("byte_bpe_50k.json"))
+
+
+def audit_by_hand(rows, min_docs, top):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts, held = defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(lower))
+        counts[lang or "", source or ""].update(terms)
+        held[lang or ""].update(set(terms))
+    out = []
+    for lang, source in counts:
+        kept = sorted(t for t, n in held[lang].items() if n >= min_docs)
+        others = [s for g, s in counts if g == lang]
+
+        def rates(some):
+            total = sum(counts[lang, s][t] for s in some for t in kept)
+            return [1 + 10**9 * (sum(counts[lang, s][t] for s in some) + 5) // (total + 5 * len(kept)) for t in kept]
+
+        mine, whole = rates([source]), rates(others)
+        parts = {
+            "pair": [(s, sum(abs(a - b) for a, b in zip(mine, rates([s]), strict=True))) for s in others if s != source],
+            "term": [(t, a - b) for t, a, b in zip(kept, mine, whole, strict=True) if a > b and counts[lang, source][t]],
+        }
+        for part, items in parts.items():
+            ordered = sorted(items, key=lambda x: (-x[1], x[0].encode()))
+            out += [(lang, source, part, item, f, i + 1) for i, (item, f) in enumerate(ordered) if part == "pair" or i < top]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("broadcast", [source_audit.BROADCAST_GROUPS, 0])
+def test_source_audit(spark, none, monkeypatch, broadcast):
+    monkeypatch.setattr(source_audit, "BROADCAST_GROUPS", broadcast)
+    rng = random.Random(8)
+    words = ["Alpha", "beta", "ÉTÉ", "été", "日本", "x2y", "don't", "a", "😀", "zed", "Zed"]
+    texts = [None, "", "123 ... ", "same same same", "same same same"] + [" ".join(rng.choices(words, range(1, 12), k=rng.randint(1, 30))) for _ in range(80)]
+    rows = [(t, rng.choice(["en", "fr", None, "én"]), rng.choice(["s1", "s2", "S3", None])) for t in texts] + [("only here", "zz", "s1"), ("", "zz", "s2"), (None, "yy", None)]
+    docs = spark.createDataFrame([(i, t, g, s, 1, "n", "w", "k") for i, (t, g, s) in enumerate(rows)], SCHEMA).repartition(3)
+    got = sorted(map(tuple, source_audit.audit(docs, min_docs=3, top=4).select("lang", "source", "part", "item", "value", "rank").collect()))
+    assert got == audit_by_hand(rows, 3, 4)
+    assert any(r[0] == "zz" and r[2:5] == ("pair", "s2", 0) for r in got)
+    assert source_audit.audit(none).count() == 0
+
+
+def test_rates_are_exact_beyond_longs(spark):
+    cases = [(0, 7, 3), (9_223_372_031, 10**10, 5), (9_223_372_032, 10**10, 5), (10**14, 3 * 10**15, 10**6), (5, 0, 1)]
+    got = spark.createDataFrame(cases, "c long, n long, v long").select(source_audit.rate(F.col("c"), F.col("n"), F.col("v")).cast("long").alias("p")).collect()
+    assert [r.p for r in got] == [1 + 10**9 * (c + 5) // (n + 5 * v) for c, n, v in cases]
