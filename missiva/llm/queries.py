@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import chat, jaccard, knn, langid, line_dedup, mixing, packing, quality, source_audit, token_counts, toxicity, warc
+from missiva.llm import chat, jaccard, knn, langid, line_dedup, mixing, packing, quality, source_audit, spelling, token_counts, toxicity, warc
 from missiva.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_jaccard_join,
         op11_token_counts,
+        op12_spelling_variants,
         op13_source_audit,
     )
 }
@@ -94,5 +99,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_top_k": knn.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op10_jaccard_join": jaccard.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
     "op13_source_audit": source_audit.ORACLE_SQL,
 }

@@ -1,13 +1,15 @@
 """Token counts, spelling variants and the source audit against brute force."""
 
+import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from missiva.llm import source_audit, token_counts
+from missiva.llm import source_audit, spelling, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, row long, n string, word string, k string"
 
@@ -108,3 +110,61 @@ def test_rates_are_exact_beyond_longs(spark):
     cases = [(0, 7, 3), (9_223_372_031, 10**10, 5), (9_223_372_032, 10**10, 5), (10**14, 3 * 10**15, 10**6), (5, 0, 1)]
     got = spark.createDataFrame(cases, "c long, n long, v long").select(source_audit.rate(F.col("c"), F.col("n"), F.col("v")).cast("long").alias("p")).collect()
     assert [r.p for r in got] == [1 + 10**9 * (c + 5) // (n + 5 * v) for c, n, v in cases]
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] and len(a) == len(b)
+
+
+def variants_by_hand(rows, min_chars):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if c < "\x80" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= min_chars and c >= 2}
+    near = defaultdict(list)
+    for a, b in itertools.permutations(n, 2):
+        if one_edit(a, b):
+            near[a].append(b)
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in near}
+    form = {w: b for w, b in best.items() if n[b] >= 10 * n[w]}
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted((w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n)
+
+
+@pytest.mark.parametrize(("shard_words", "wave_bytes"), [(spelling.SHARD_WORDS, spelling.WAVE_BYTES), (7, 400)])
+def test_spelling_variants(spark, none, shard_words, wave_bytes):
+    rng = random.Random(11)
+    letters = "abÀé÷×ÿz"
+    words = ["".join(rng.choices(letters, k=rng.randint(3, 6))) for _ in range(40)] + ["aaaa", "aaaaa", "aaaaaa", "aaab", "baaa", "ÉTÉ", "été", "Abab", "ab"]
+    for w in words[:25]:
+        i = rng.randrange(len(w))
+        words += [w[:i] + w[i + 1 :], w[:i] + rng.choice(letters) + w[i:], w[:i] + rng.choice(letters) + w[i + 1 :]]
+    weights = [rng.choice([1, 1, 2, 30, 400]) for _ in words]
+    rows = [(i or None, rng.choice([" ", "1", "日"]).join(rng.choices(words, weights, k=rng.randint(1, 60)))) for i in range(150)] + [(900, None), (901, ""), (902, " 12 ")]
+    rows += [rows[3], rows[3], (903, "chain " + "abcdef " * 3 + "abcdeg " * 31 + "abcxeg " * 330), (904, "solitary solitary")]
+    docs = spark.createDataFrame([(i, t, "l", "s", 1, "n", "w", "k") for i, t in rows], SCHEMA).repartition(3)
+    out = spelling.variants(docs, min_chars=3, shard_words=shard_words, wave_bytes=wave_bytes).select("word", "form", "root", "n", "n_near", "form_n")
+    expected = variants_by_hand(rows, 3)
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == expected
+    assert any(form and form != root for _, form, root, *_ in expected)
+    assert spelling.variants(none).count() == 0
+
+
+def test_tries_and_waves():
+    words = sorted(w.encode("latin-1") for w in {"".join(p) for k in (1, 2, 3) for p in itertools.product("aé", repeat=k)} | {"", "b", "éaéa"} if w)
+    walker = spelling.Walker(spelling.Trie.unpacked(*spelling.Trie.of(words, list(range(len(words)))).packed()))
+    for w in [*words, b"zz", b"aaaaa", b""]:
+        near = {x: i for i, x in enumerate(words) if one_edit(x.decode("latin-1"), w.decode("latin-1"))}
+        assert walker.near(w) == near
+    assert list(spelling._waves([(0, 5), (1, 5), (2, 20), (3, 1)], 10)) == [[0, 1], [2], [3]]
