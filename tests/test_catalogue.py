@@ -64,6 +64,21 @@ def test_letters_with_stated_results(spark, profile, read):
         assert tuple(i for i in out if out[i].has_stamp) == cases.STAMPED
 
 
+@pytest.mark.parametrize("name", ["mail_text_fields", "mail_text_scores"])
+def test_keys_that_look_like_misread_years(spark, tmp_path, name):
+    """Keys that the year repair changes, each in every letter, and their neighbours that it leaves."""
+    keys = [2066, 2076, 2086, 2096, 6026, 7026, 8026, 9026, 42020, 42076, 42099, 2026, 2056, 2077, 5026, 42019, 42100]
+    n = len(cases.LETTERS)
+    rows = [(k,) for k in keys] + [(k,) for k in range(42020, 42020 + n)] + [(88 + i,) for i in range(n)]
+    spark.createDataFrame(sorted(set(rows)), "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    out = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(ORACLES[name])
+    names = [c[0] for c in want.description]
+    assert Counter(map(tuple, out.select(*names).collect())) == Counter(want.fetchall())
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.txt").write_text(cases.LETTERS[9].replace("@N@", "731").replace("@D@", "17").replace("@K@", "88"))
     (tmp_path / "b.txt").write_text("court")
