@@ -1,8 +1,9 @@
 """Operator 13, source divergence audit: how far apart the sources of a language are in their words.
 
-Terms are counted by language, source and term, with partial counts before the only large shuffle; a document says itself
-which of its terms it holds (its distinct terms travel beside its occurrences), so no shuffle by document is needed. Each
-kept term is then pivoted into one row with an array that is indexed by the language's sources. Spark's higher-order
+A first pass counts the documents that hold each term, by the term's hash (a document says itself which distinct terms it
+holds, so nothing is shuffled by document); terms in too few documents are known then, and the second pass counts only the
+others by language, source and term, partially before the shuffle. Terms that share a hash are looked for and counted by
+themselves. Each kept term is then pivoted into one row with an array that is indexed by the language's sources. Spark's higher-order
 functions turn the array into rates and each source's rate into its differences to the sources after it; these
 contributions are summed by pair, partially before the shuffle.
 
@@ -12,7 +13,7 @@ Defined results: null text, lang and source read as ''; an empty or null text ha
 repeated rows are counted each; ties of a value go by the item's UTF-8 bytes; an empty table gives an empty result; extra
 columns are not read. A language without kept terms has pairs of value 0 and no terms. Memory: a term's row holds one
 number a source of its language; a language's sources travel in a broadcast only while there are at most BROADCAST_GROUPS
-groups, else in a plain join.
+groups, kept hashes only while there are at most BROADCAST_TERMS, else in plain joins.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ TOP = 50
 SCALE, PRIOR = 1_000_000_000, 5
 #: (lang, source) groups up to which the languages' rows are broadcast; a row holds some tens of bytes a group.
 BROADCAST_GROUPS = 100_000
+#: Kept terms up to which their hashes are broadcast, some 50 bytes each.
+BROADCAST_TERMS = 1_000_000
 
 
 def terms_of(text: Column) -> Column:
@@ -45,18 +48,36 @@ def rate(count: Column, total: Column, terms: Column) -> Column:
     return 1 + F.when(above <= (1 << 63) // SCALE - 1, short).otherwise(exact)
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that hold it)."""
-    held = docs.select("lang", "source", terms_of(F.col("text")).alias("terms"))
-    both = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
-    )
-    rows = held.select("lang", "source", F.inline(both))
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+def term_hash(term: Column) -> Column:
+    return F.xxhash64(term)
 
 
-def _languages(groups: DataFrame, counts: DataFrame, wide: DataFrame) -> DataFrame:
+def _held(docs: DataFrame, min_docs: int) -> DataFrame:
+    """lang, h: hashes of terms in at least min_docs of a language's documents; a document says itself which distinct terms it holds."""
+    rows = docs.select("lang", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+    counts = rows.groupBy("lang", term_hash(F.col("term")).alias("h")).agg(F.count("*").alias("docs"))
+    return written(counts.filter(F.col("docs") >= min_docs).select("lang", "h"), "held-terms")
+
+
+def _pivoted(docs: DataFrame, held: DataFrame, min_docs: int) -> DataFrame:
+    """lang, term, n, held: a row a kept term, with its occurrences in each source that has it."""
+    rows = docs.select("lang", "source", F.explode(terms_of(F.col("text"))).alias("term")).withColumn("h", term_hash(F.col("term")))
+    few = held.count() <= BROADCAST_TERMS
+    some = rows.join(F.broadcast(held), ["lang", "h"], "left_semi") if few else rows  # else counted first and looked up after
+    counts = some.groupBy("lang", "source", "term", "h").agg(F.count("*").alias("n"))
+    counts = counts if few else counts.join(held, ["lang", "h"], "left_semi")
+    wide = written(counts.groupBy("lang", "h", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held")), "wide-terms")
+    clashes = written(wide.groupBy("lang", "h").agg(F.count("*").alias("terms")).filter("terms > 1"), "clashes")
+    if clashes.isEmpty():
+        return wide
+    # terms that share a hash are counted by themselves
+    apart = docs.select("lang", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).withColumn("h", term_hash(F.col("term")))
+    own = apart.join(clashes, ["lang", "h"], "left_semi").groupBy("lang", "term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    alone = wide.join(clashes, ["lang", "h"], "left_anti")
+    return written(alone.unionByName(wide.join(clashes, ["lang", "h"], "left_semi").join(own, ["lang", "term"], "left_semi")), "wide-terms")
+
+
+def _languages(groups: DataFrame, wide: DataFrame) -> DataFrame:
     """One row a language: v (kept terms), total, sources (sorted structs of source, total)."""
     kept = wide.select("lang", F.explode("held").alias("h")).groupBy("lang", F.col("h.source").alias("source")).agg(F.sum("h.n").alias("total"))
     full = groups.join(kept, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"))
@@ -74,13 +95,11 @@ def _ranked(df: DataFrame, most: int | None = None) -> DataFrame:
 def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: ``pair`` the distances to the language's other sources, ``term`` the terms that a source uses most beyond its language."""
     read = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counts = written(_counts(read), "term-counts")
-    # pivot: a row a term, with its count in each source that has it
-    pivot = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held"))
-    wide = written(pivot.filter(F.col("docs") >= min_docs).drop("docs"), "wide-terms")
-    drop(counts)
+    held = _held(read, min_docs)
+    wide = _pivoted(read, held, min_docs)
+    drop(held)
     groups = read.select("lang", "source").distinct()
-    languages = written(_languages(groups, counts, wide), "languages")
+    languages = written(_languages(groups, wide), "languages")
     n_groups = languages.agg(F.sum(F.size("sources"))).first()[0] or 0
     sized = F.broadcast(languages) if n_groups <= BROADCAST_GROUPS else languages
     joined = wide.join(sized.withColumnRenamed("total", "lang_total"), "lang")
