@@ -48,33 +48,37 @@ def rate(count: Column, total: Column, terms: Column) -> Column:
     return 1 + F.when(above <= (1 << 63) // SCALE - 1, short).otherwise(exact)
 
 
-def term_hash(term: Column) -> Column:
-    return F.xxhash64(term)
+def term_hash(term: str = "term") -> Column:
+    """Of a language's term."""
+    return F.xxhash64("lang", term)
 
 
 def _held(docs: DataFrame, min_docs: int) -> DataFrame:
-    """lang, h: hashes of terms in at least min_docs of a language's documents; a document says itself which distinct terms it holds."""
+    """h: hashes of terms in at least min_docs of a language's documents; a document says itself which distinct terms it holds."""
     rows = docs.select("lang", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    counts = rows.groupBy("lang", term_hash(F.col("term")).alias("h")).agg(F.count("*").alias("docs"))
-    return written(counts.filter(F.col("docs") >= min_docs).select("lang", "h"), "held-terms")
+    counts = rows.groupBy(term_hash().alias("h")).agg(F.count("*").alias("docs"))
+    return written(counts.filter(F.col("docs") >= min_docs).select("h"), "held-terms")
 
 
 def _pivoted(docs: DataFrame, held: DataFrame, min_docs: int) -> DataFrame:
     """lang, term, n, held: a row a kept term, with its occurrences in each source that has it."""
-    rows = docs.select("lang", "source", F.explode(terms_of(F.col("text"))).alias("term")).withColumn("h", term_hash(F.col("term")))
+    rows = docs.select("lang", "source", F.explode(terms_of(F.col("text"))).alias("term"))
     few = held.count() <= BROADCAST_TERMS
-    some = rows.join(F.broadcast(held), ["lang", "h"], "left_semi") if few else rows  # else counted first and looked up after
-    counts = some.groupBy("lang", "source", "term", "h").agg(F.count("*").alias("n"))
-    counts = counts if few else counts.join(held, ["lang", "h"], "left_semi")
-    wide = written(counts.groupBy("lang", "h", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held")), "wide-terms")
-    clashes = written(wide.groupBy("lang", "h").agg(F.count("*").alias("terms")).filter("terms > 1"), "clashes")
+    if few:
+        rows = rows.withColumn("h", term_hash()).join(F.broadcast(held), "h", "left_semi")
+    counts = rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
+    if not few:  # counted first, looked up after
+        counts = counts.withColumn("h", term_hash()).join(held, "h", "left_semi")
+    pivot = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held"))
+    wide = written(pivot.withColumn("h", term_hash()), "wide-terms")
+    clashes = written(wide.groupBy("h").agg(F.count("*").alias("terms")).filter("terms > 1"), "clashes")
     if clashes.isEmpty():
         return wide
     # terms that share a hash are counted by themselves
-    apart = docs.select("lang", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).withColumn("h", term_hash(F.col("term")))
-    own = apart.join(clashes, ["lang", "h"], "left_semi").groupBy("lang", "term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    alone = wide.join(clashes, ["lang", "h"], "left_anti")
-    return written(alone.unionByName(wide.join(clashes, ["lang", "h"], "left_semi").join(own, ["lang", "term"], "left_semi")), "wide-terms")
+    apart = docs.select("lang", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).withColumn("h", term_hash())
+    own = apart.join(clashes, "h", "left_semi").groupBy("lang", "term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    alone = wide.join(clashes, "h", "left_anti")
+    return written(alone.unionByName(wide.join(clashes, "h", "left_semi").join(own, ["lang", "term"], "left_semi").select(alone.columns)), "wide-terms")
 
 
 def _languages(groups: DataFrame, wide: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def test_source_audit(spark, none, monkeypatch, broadcast, clash):
     monkeypatch.setattr(source_audit, "BROADCAST_GROUPS", broadcast)
     monkeypatch.setattr(source_audit, "BROADCAST_TERMS", broadcast)
     if clash:
-        monkeypatch.setattr(source_audit, "term_hash", lambda term: F.xxhash64(term) % 3)
+        monkeypatch.setattr(source_audit, "term_hash", lambda term="term": F.xxhash64(term) % 3)
     rng = random.Random(8)
     words = ["Alpha", "beta", "ÉTÉ", "été", "日本", "x2y", "don't", "a", "😀", "zed", "Zed"]
     texts = [None, "", "123 ... ", "same same same", "same same same"] + [" ".join(rng.choices(words, range(1, 12), k=rng.randint(1, 30))) for _ in range(80)]
