@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm.common import scratch_path
+from missiva.llm.common import drop, scratch_path, written
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 16 << 20
@@ -120,6 +120,7 @@ def write_archives(pages: DataFrame, path: str, *, roll_bytes: int = ROLL_BYTES,
     ).withColumn("digest", F.unhex(F.sha1("html")))
     facts = base.select("page_id", "digest", F.octet_length("html").alias("n"))
     firsts = facts.filter(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).filter("copies > 1")
+    firsts = written(firsts.select("digest", "response"), "firsts")  # a table, so that Spark can split the join on a digest of very many pages
     refs = facts.join(firsts, "digest").groupBy("page_id", "digest").agg(F.first("response").alias("response")).filter("response is not null")
     borders, nameless = _borders(base, shard_bytes)
     stream = (
@@ -190,6 +191,7 @@ def write_archives(pages: DataFrame, path: str, *, roll_bytes: int = ROLL_BYTES,
         .mapInArrow(write, "file string, shard long, roll long, records long, bytes long, sha1 string, first_page long, last_page long")
     )
     manifest.write.parquet(f"{path}/manifest")
+    drop(firsts)
     return pages.sparkSession.read.parquet(f"{path}/manifest")
 
 
