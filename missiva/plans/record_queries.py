@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from missiva.operators import search_index
 from missiva.operators.record_table import RecordTable
-from missiva.plans.catalogue import query
-from missiva.sources.letters import COURRIERS_CTE, courriers
+from missiva.operators.scan_fields import FIELDS
+from missiva.plans.catalogue import _SCAN_READ, query
+from missiva.plans.measures import Stages, measured_scan
+from missiva.sources.letters import COURRIERS_CTE, LETTERS_CTE, courriers, letters
 from missiva.sources.shared import scratch
 
 PATCHED = "map<string,string>"
@@ -51,3 +53,17 @@ _indexed(
     "src7",
     "objet ILIKE '%src7%' OR numero ILIKE '%src7%' OR expediteur ILIKE '%src7%' OR destinataire ILIKE '%src7%' OR texte_complet ILIKE '%src7%' OR corps ILIKE '%src7%'",
 )
+
+
+@query(
+    _SCAN_READ
+    + """SELECT 0 AS place, 'text' AS stage, count(*) AS rows, CAST(sum(length(texte_complet)) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS fields FROM letters
+UNION ALL SELECT 1, 'corrected', count(*), CAST(sum(length(texte_complet)) AS BIGINT), 0 FROM letters
+UNION ALL SELECT 2, 'fields', count(*), CAST(sum(length(corps)) AS BIGINT), CAST(sum(7 - CASE WHEN etablissement IS NULL THEN 1 ELSE 0 END) AS BIGINT) FROM f""",
+    LETTERS_CTE,
+)
+def stage_measures(spark, sf_dir):
+    """Rows, characters and fields found at each stage of the scan profile, over all letters."""
+    stages = Stages()
+    measured_scan(letters(spark, sf_dir), stages).select("id", *FIELDS, "corps").write.format("noop").mode("overwrite").save()
+    return stages.table(spark)

@@ -28,10 +28,16 @@ FROM {orders}
 """
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt to all cores where it has fewer splits than there are: the rules cost far more than reading. Tables with more stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, texte_complet. The rules cost far more than reading, so a table of few row groups is dealt to all cores first."""
+    """id, texte_complet."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    return spark.sql(LETTERS_SQL, orders=orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey"))
+    return spark.sql(LETTERS_SQL, orders=dealt(orders, "o_orderkey"))
 
 
 #: The same as a DuckDB common table expression.
