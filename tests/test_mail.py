@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from missiva.functions import language, normalise
 from missiva.functions.patterns import matches, start
 from missiva.operators import ocr, records, scan_fields, scoring
-from missiva.plans.profiles import scan_fields_scored, scan_profile
+from missiva.plans.profiles import scan_fields_scored, scan_profile, text_fields_scored, text_profile
 from missiva.sources import files
 
 LETTER = (
@@ -220,3 +220,62 @@ def test_insert_pending_rows(spark, tmp_path):
     assert (a.numero, a.date_courrier, a.processing_time_ms, a.ocr_engine_used, a.confidence["numero"]) == ("221/1234", "12 mars 2024", 12, "tesseract", 70)
     assert (b.numero, b.date_courrier, b.file_type, b.processing_time_ms, b.ocr_engine_used) == ("830/26", "27 janvier 2022", "pdf", 0, "pdf.js (client)")
     assert len(b.confidence) == 7 and b.texte_complet == TEXT_LETTER and c.numero is None
+
+
+LETTER = """Royaume du Maroc
+Université Cadi Ayyad – Marrakech
+La Présidence
+Présidence Université Cadi Ayyad – Bd. de l'Université, B.P. 511- Marrakech
+Tél : 05.00.00.00.01/05.00.00.00.02 – Fax : 05.00.00.00.03 - Email : accueil@example.org
+
+Marrakech, le 27 JAN 2022
+N° 400/UCA/2022/586
+
+Le Président
+A
+Mesdames et Messieurs les Professeurs,
+Les Personnels administratif et technique et
+Les Etudiants de l'Université
+
+OBJET : Organisation des Assises régionales Marrakech – Safi 2021-2022
+
+Cher(e)s collègues,
+
+Les Assises régionales de la recherche se tiendront au mois de mars prochain ; les préparatifs ont commencé.
+
+Veuillez agréer, Mesdames et Messieurs, l'expression de ma haute considération.
+
+Le Président
+"""
+SLIP = """Royaume du Maroc
+Ministère de l'Enseignement Supérieur
+Direction des Ressources Humaines
+
+BORDEREAU D'ENVOI
+
+N° BE/2024/RH/0042
+Rabat, le 03 mars 2024
+
+Expéditeur : Direction des Ressources Humaines
+Destinataire : Service du Personnel, Présidence UCA
+
+Objet : Transmission des dossiers de promotion — Session 2024
+
+1. Liste des enseignants
+2. Procès-verbaux
+"""
+
+
+def test_a_letter_and_a_slip(spark):
+    """A circular with a number of four parts and a slip with labelled lines, through both profiles; an empty text has no fields."""
+    df = spark.createDataFrame([(1, LETTER), (2, SLIP), (3, "")], "id long, texte_complet string")
+    text, scan = ({r.id: r for r in f(df).collect()} for f in (text_profile, scan_profile))
+    assert "400" in text[1].numero and ("UCA" in text[1].numero or "2022" in text[1].numero)
+    assert text[1].date == "27 janvier 2022" and text[1].type_document == "lettre"
+    assert "Assises régionales" in text[1].objet and "Président" in text[1].expediteur and "préparatifs" in text[1].corps
+    assert text[2].type_document == "bordereau" and text[2].date == "03 mars 2024"
+    for r in (text[3], scan[3]):
+        assert (r.numero, r.date, r.objet) == (None, None, None)
+    assert scan[1].date == "27 janvier 2022" and scan[2].type_document == "bordereau"
+    scores = text_fields_scored(df.filter("id = 1")).collect()
+    assert len(scores) == 7 and all(0 <= r.score <= 1 for r in scores)

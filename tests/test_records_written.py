@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from missiva.operators import records, search_index
 from missiva.operators.record_table import RecordTable
 from missiva.plans import record_queries  # noqa: F401  registers its queries
+from missiva.plans.measures import Stages, measured_scan
+from missiva.sources.cache import RecognitionCache
 from missiva.plans.catalogue import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -110,12 +112,43 @@ def test_only_the_querys_trigrams_are_read(spark, tmp_path):
     assert search_index.candidates(spark, str(tmp_path / "i"), "x_%", "objet") is None
 
 
-@pytest.mark.parametrize("name", ["table_written_back", "indexed_search_objet", "indexed_search_contenu", "indexed_search_all"])
+@pytest.mark.parametrize("name", ["table_written_back", "indexed_search_objet", "indexed_search_contenu", "indexed_search_all", "stage_measures", "recognition_cache"])
 def test_queries(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "orders", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     out = QUERIES[name](spark, SMALL)
     want = con.execute(ORACLES[name])
     names = [c[0] for c in want.description]
     assert Counter(map(tuple, out.select(*names).collect())) == Counter(want.fetchall())
+
+
+def test_recognised_texts_last(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def engine(data):
+        calls.add(1)
+        return data.decode().upper(), 0.5
+
+    rows = [(1, b"a", None), (2, b"b", None), (3, b"a", None), (4, b"c", "size"), (5, b"", None)]
+    files = spark.createDataFrame(rows, "id long, content binary, refused string")
+    cache = RecognitionCache(spark, str(tmp_path / "cache"))
+    got = {r.id: (r.text, r.batch) for r in cache.recognised(files, engine, "e", "one").collect()}
+    assert got == {1: ("A", "one"), 2: ("B", "one"), 3: ("A", "one"), 4: (None, None), 5: ("", "one")} and calls.value == 3
+    again = {r.id: (r.text, r.batch) for r in RecognitionCache(spark, str(tmp_path / "cache")).recognised(files, engine, "e", "two").collect()}
+    assert again == got and calls.value == 3  # none of the second run
+    cache.recognised(files.filter("id < 3"), engine, "other", "two")
+    assert calls.value == 5  # another engine reads for itself
+    assert cache.recognised(files.limit(0), engine, "e").count() == 0 and calls.value == 5
+
+
+def test_stages_are_observed(spark):
+    letters = spark.createDataFrame([(1, "N° 123/2024\nObjet : essai de lettre\n"), (2, None), (3, "")], "id long, texte_complet string")
+    stages = Stages()
+    measured_scan(letters, stages).write.format("noop").mode("overwrite").save()
+    text, corrected, fields = stages.table(spark).collect()
+    assert (text.stage, text.rows, text.characters, text.fields) == ("text", 3, 36, 0)
+    assert corrected.rows == fields.rows == 3 and fields.fields >= 2
+    none = Stages()
+    measured_scan(letters.limit(0), none).write.format("noop").mode("overwrite").save()
+    assert [(r.rows, r.characters, r.fields) for r in none.table(spark).collect()] == [(0, 0, 0)] * 3
