@@ -222,7 +222,7 @@ def test_insert_pending_rows(spark, tmp_path):
     assert len(b.confidence) == 7 and b.texte_complet == TEXT_LETTER and c.numero is None
 
 
-LETTER = """Royaume du Maroc
+CIRCULAR = """Royaume du Maroc
 Université Cadi Ayyad – Marrakech
 La Présidence
 Présidence Université Cadi Ayyad – Bd. de l'Université, B.P. 511- Marrakech
@@ -268,7 +268,7 @@ Objet : Transmission des dossiers de promotion — Session 2024
 
 def test_a_letter_and_a_slip(spark):
     """A circular with a number of four parts and a slip with labelled lines, through both profiles; an empty text has no fields."""
-    df = spark.createDataFrame([(1, LETTER), (2, SLIP), (3, "")], "id long, texte_complet string")
+    df = spark.createDataFrame([(1, CIRCULAR), (2, SLIP), (3, "")], "id long, texte_complet string")
     text, scan = ({r.id: r for r in f(df).collect()} for f in (text_profile, scan_profile))
     assert "400" in text[1].numero and ("UCA" in text[1].numero or "2022" in text[1].numero)
     assert text[1].date == "27 janvier 2022" and text[1].type_document == "lettre"
