@@ -70,11 +70,6 @@ def stage_measures(spark, sf_dir):
     return stages.table(spark)
 
 
-def _reading(data: bytes) -> tuple[str, float]:
-    """Stands for an engine: the first letters, and a confidence from the length."""
-    return data[:40].decode("utf-8", "ignore"), len(data) % 100 / 100
-
-
 @query(
     """WITH p AS (SELECT page_id, html, strlen(html) AS n FROM pages),
 seen AS (SELECT sha256(html) AS sha256, min(CASE WHEN page_id % 3 = 0 THEN 'first' ELSE 'second' END) AS batch FROM p GROUP BY 1)
@@ -82,8 +77,13 @@ SELECT page_id, s.sha256, substr(html, 1, 40) AS text, (n % 100) / CAST(100 AS D
 )
 def recognition_cache(spark, sf_dir):
     """A third of the pages, then all of them, then all again: each content is recognised by the first run that meets it."""
+
+    def reading(data: bytes) -> tuple[str, float]:
+        """Stands for an engine: the first letters, and a confidence from the length."""
+        return data[:40].decode("utf-8", "ignore"), len(data) % 100 / 100
+
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").cast("binary").alias("content"), F.lit(None).cast("string").alias("refused"))
     cache = RecognitionCache(spark, scratch(spark, "cache"))
-    cache.recognised(pages.filter("page_id % 3 = 0"), _reading, "stub", "first")
-    cache.recognised(pages, _reading, "stub", "second")
-    return cache.recognised(pages, _reading, "stub", "third").select("page_id", "sha256", "text", "confidence", "batch")
+    cache.recognised(pages.filter("page_id % 3 = 0"), reading, "stub", "first")
+    cache.recognised(pages, reading, "stub", "second")
+    return cache.recognised(pages, reading, "stub", "third").select("page_id", "sha256", "text", "confidence", "batch")
