@@ -279,3 +279,25 @@ def test_a_letter_and_a_slip(spark):
     assert scan[1].date == "27 janvier 2022" and scan[2].type_document == "bordereau"
     scores = text_fields_scored(df.filter("id = 1")).collect()
     assert len(scores) == 7 and all(0 <= r.score <= 1 for r in scores)
+
+
+def test_costly_steps_are_worked_out_once(spark):
+    """What earlier steps made stands once in each expression, however many rules look at it."""
+    from pyspark.sql import functions as F
+
+    from missiva.functions import normalise, rules_text
+    from missiva.operators import text_fields
+
+    def times(column, pattern):
+        plan = spark.createDataFrame([("a",)], "t string").select(column(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count(pattern)
+
+    spark.conf.set("spark.sql.maxPlanStringLength", 100_000_000)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        assert times(normalise.normalise_text, normalise.FRENCH_TEXT[0][0]) == 1
+        assert times(text_fields.corps, rules_text.SALUTATIONS[0]) == 1
+        assert times(lambda t: text_fields.expediteur(t, F.lit("x")), rules_text.RECIPIENT_START) <= 2
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
