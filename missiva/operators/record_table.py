@@ -1,10 +1,11 @@
 """A durable table of records: updates, deletions and inserts are written back, and a rerun after a crash leaves the same table.
 
 Rows lie in ``buckets`` partitions by their id's hash. A change reads and rewrites only the buckets that its ids name: the
-new buckets are first written whole beside the table, and only when they are all there are the table's own replaced (by
-dynamic partition overwrite). A crash before that leaves the table as it was; a crash during it is mended by recover(),
-which every operation runs first and which replays the replacement from the copy. Inserts append rows whose content key
-isn't there yet, so that a rerun adds nothing twice; an appended row is whole or absent.
+new buckets are first written whole beside the table, then a list of them, and only when both are there do they take the
+place of the table's own, folder by folder and by renaming, so that a row is written once. A crash before that leaves the
+table as it was; a crash during it is mended by recover(), which every operation runs first and which ends the
+replacement by the list. Inserts append rows whose content key isn't there yet, so that a rerun adds nothing twice; an
+appended row is whole or absent. Whole rows are exchanged once a change, by id; keys alone decide which rows are new.
 
 One writer at a time. Nulls in any column are kept; an empty patch, insert or deletion changes nothing.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.operators import records
-from missiva.sources.shared import exists, remove
+from missiva.sources.shared import exists, remove, renamed, scratch
 
 BUCKETS = 64
 #: What makes two records the same for an insert.
@@ -37,7 +38,7 @@ class RecordTable:
 
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS, columns: tuple[str, ...] = CONTENT):
         self.spark, self.path, self.buckets, self.columns = spark, path.rstrip("/"), buckets, columns
-        self.data, self.next, self.touched, self.kind = (f"{self.path}/{x}" for x in ("rows", "next", "touched", "schema"))
+        self.data, self.next, self.ready, self.kind = (f"{self.path}/{x}" for x in ("rows", "next", "ready", "schema"))
 
     # --- reading
 
@@ -73,9 +74,13 @@ class RecordTable:
         placed = self._placed(df)
         one = placed.groupBy("content_key").agg(F.min("id").alias("id")).groupBy("id").agg(F.min("content_key").alias("content_key"))
         there = self._stored().select("content_key", "id")
-        new = placed.join(one, ["content_key", "id"], "left_semi").dropDuplicates(["content_key", "id"])
-        new = new.join(there.select("content_key"), "content_key", "left_anti").join(there.select("id"), "id", "left_anti")
-        new.select(self._read(self.data).columns).repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("append").partitionBy("bucket").parquet(self.data)
+        path = scratch(self.spark, "new")
+        one.join(there.select("content_key"), "content_key", "left_anti").join(there.select("id"), "id", "left_anti").write.parquet(path)
+        keys = self.spark.read.schema(one.schema).parquet(path)
+        if not keys.isEmpty():
+            new = placed.join(keys, ["content_key", "id"], "left_semi").dropDuplicates(["content_key", "id"])
+            new.select(self._read(self.data).columns).repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("append").partitionBy("bucket").parquet(self.data)
+        remove(self.spark, path)
 
     def update(self, patches: DataFrame) -> None:
         """records.update, written back; the content key follows the new values."""
@@ -89,27 +94,29 @@ class RecordTable:
         buckets = sorted(r[0] for r in ids.select(bucket_of(F.col("id"), self.buckets)).distinct().collect() if r[0] is not None)  # at most ``buckets`` numbers
         if not buckets:
             return
-        before = stored.filter(F.col("bucket").isin(buckets)).drop(*OWN)
-        self.spark.createDataFrame([(b,) for b in buckets], "bucket int").coalesce(1).write.mode("overwrite").parquet(self.touched)
-        self._placed(change(before)).repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(self.next)
+        before = stored.filter(F.col("bucket").isin(buckets)).drop(*OWN).repartition("id")  # the one exchange of whole rows, which the change's join keeps to
+        self._placed(change(before)).sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(self.next)
+        left = [(b, exists(self.spark, f"{self.next}/bucket={b}")) for b in buckets]
+        self.spark.createDataFrame(left, "bucket int, left boolean").coalesce(1).write.mode("overwrite").parquet(self.ready)
         self._replace()
 
     def recover(self) -> None:
         """Ends a replacement that a crash cut short, or drops a copy that wasn't whole."""
-        if exists(self.spark, f"{self.next}/_SUCCESS"):
+        if exists(self.spark, f"{self.ready}/_SUCCESS"):
             self._replace()
         else:
             remove(self.spark, self.next)
-            remove(self.spark, self.touched)
+            remove(self.spark, self.ready)
 
     def _replace(self) -> None:
         """Puts the copy's buckets in the table's place; may run again at any point."""
-        copy = self._read(self.next)
-        copy.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.data)
-        left = {r[0] for r in copy.select("bucket").distinct().collect()}
-        for r in self.spark.read.parquet(self.touched).collect():  # at most ``buckets`` numbers
-            if r[0] not in left:  # all its rows are deleted
-                remove(self.spark, f"{self.data}/bucket={r[0]}")
-        remove(self.spark, f"{self.next}/_SUCCESS")  # first, so that a copy half removed isn't replayed
+        for bucket, left in self.spark.read.parquet(self.ready).collect():  # at most ``buckets`` numbers
+            old, new = (f"{path}/bucket={bucket}" for path in (self.data, self.next))
+            if exists(self.spark, new):
+                remove(self.spark, old)
+                renamed(self.spark, new, old)
+            elif not left:  # all its rows are deleted; else it is in its place already
+                remove(self.spark, old)
+        remove(self.spark, f"{self.ready}/_SUCCESS")  # first, so that a list half removed isn't replayed
+        remove(self.spark, self.ready)
         remove(self.spark, self.next)
-        remove(self.spark, self.touched)

@@ -73,6 +73,41 @@ def test_a_crash_leaves_the_table_before_or_after(spark, table, monkeypatch, sto
     assert len(state(table)) == 26
 
 
+@pytest.mark.parametrize("done", [1, 2])
+def test_a_crash_between_two_buckets_is_mended(spark, table, monkeypatch, done):
+    from missiva.operators import record_table
+
+    calls, rename = [], record_table.renamed
+
+    def stopping(*a):
+        if len(calls) == done:
+            raise RuntimeError("killed")
+        calls.append(a)
+        rename(*a)
+
+    monkeypatch.setattr(record_table, "renamed", stopping)
+    with pytest.raises(RuntimeError, match="killed"):
+        table.delete(spark.createDataFrame([(i,) for i in range(0, 40, 3)], "id long"))
+    monkeypatch.undo()
+    assert len(state(table)) == 26
+    table.recover()
+    assert len(state(table)) == 26
+
+
+def test_whole_rows_are_exchanged_and_written_once(spark, table, monkeypatch):
+    """A change writes its rows once and exchanges them by id alone; a rerun of an insert exchanges keys alone."""
+    plans = []
+    write = type(spark.range(1).write)
+    kept = write.parquet
+    monkeypatch.setattr(write, "parquet", lambda self, path, *a, **k: (plans.append((path, self._df._jdf.queryExecution().optimizedPlan().toString())), kept(self, path, *a, **k))[1])
+    table.update(patches(spark, range(0, 40, 2)))
+    assert [path.rsplit("/", 1)[1] for path, _ in plans] == ["next", "ready"]
+    assert plans[0][1].count("RepartitionByExpression [id") == 1 == plans[0][1].count("RepartitionByExpression")
+    plans.clear()
+    table.insert(table.rows())
+    assert len(plans) == 1 and "missiva-new" in plans[0][0]
+
+
 def test_a_bucket_can_become_empty(spark, table):
     table.delete(table.rows().select("id"))
     assert table.rows().count() == 0
