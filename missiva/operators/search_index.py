@@ -2,7 +2,8 @@
 
 The index holds, for each field, which rows hold which three characters in a row (lower-cased as ``ilike`` does), in
 partitions by the trigram's hash and sorted by trigram, so that a query reads only its own trigrams' pages; beside it, how
-many rows each trigram has. A query's literal parts, between its wildcards, give trigrams; its FEWEST rarest ones are
+many rows each trigram has. Texts that are read together give a trigram's ids as one list, so that lists are exchanged and
+sorted, not single postings. A query's literal parts, between its wildcards, give trigrams; its FEWEST rarest ones are
 looked up and their lists of rows intersected by count. What is left is verified with ``ilike`` on the table. A field
 whose query has no literal part of three characters is searched by ``ilike`` alone.
 
@@ -13,14 +14,20 @@ fields match; an empty table gives an empty index and no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.functions.patterns import let
 from missiva.operators import records
+from missiva.sources.letters import dealt
 
 SIZE, PARTS = 3, 64
+#: Characters and texts up to which texts are taken together.
+TOGETHER, TEXTS = 1 << 22, 1 << 14
 #: Trigrams that one query looks up, the rarest first.
 FEWEST = 4
 #: Candidates up to which the table is filtered by their ids, so that row groups outside their range aren't read; else they are joined.
@@ -40,13 +47,64 @@ def grams_of(text: Column) -> Column:
     return F.when(F.char_length(F.lower(text)) >= SIZE, F.array_distinct(let(F.split(F.lower(text), ""), grams)))
 
 
+def posting_lists() -> Callable:
+    """A function from texts to their distinct trigrams: (trigrams, where each one's list begins and ends, the lists of places of texts)."""
+
+    def lists(texts):
+        """A tuple for each group of texts whose trigrams, by the letters that occur, and places fit a whole number together."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        here = np.zeros(0x110000, bool)
+        here[codes] = True
+        letters = np.flatnonzero(here)
+        if len(letters) ** SIZE * len(texts) >= 1 << 63:
+            for at, part in ((0, texts[: len(texts) // 2]), (len(texts) // 2, texts[len(texts) // 2 :])):
+                yield from ((grams, ends, places + at) for grams, ends, places in lists(part))
+            return
+        sizes = np.array([len(t) for t in texts], np.int64)
+        code = (np.cumsum(here) - 1)[codes]
+        place = np.repeat(np.arange(len(texts)), sizes)
+        n = max(len(codes) - SIZE + 1, 0)
+        key = np.zeros(n, np.int64)
+        for k in range(SIZE):
+            key = key * len(letters) + code[k : n + k]
+        key = np.unique((key * len(texts) + place[:n])[place[:n] == place[SIZE - 1 : n + SIZE - 1]])  # none across two texts
+        gram, places = np.divmod(key, len(texts))
+        begins = np.flatnonzero(np.diff(gram, prepend=-1))
+        gram = gram[begins]
+        each = np.stack([letters[gram // len(letters) ** (SIZE - 1 - k) % max(len(letters), 1)] for k in range(SIZE)], axis=1)
+        joined = each.astype("<u4").tobytes().decode("utf-32-le")
+        yield [joined[i : i + SIZE] for i in range(0, len(joined), SIZE)], np.append(begins, len(key)).astype(np.int32), places
+
+    return lists
+
+
+def postings(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """field, gram, n, ids: for texts that are read together, the ids of those that hold a trigram, and how many they are."""
+    lists = posting_lists()
+
+    def run(batches):
+        for batch in batches:
+            ids = batch["id"]
+            for k, field in enumerate(fields):
+                texts, a, size = batch[f"f{k}"].to_pylist(), 0, 0
+                texts = [t or "" for t in texts]
+                for b, text in enumerate([*texts, None]):
+                    if b > a and (text is None or size + len(text) > TOGETHER or b - a == TEXTS):
+                        for grams, ends, places in lists(texts[a:b]):
+                            held = pa.ListArray.from_arrays(ends, ids.take(pa.array(places + a)))
+                            yield pa.RecordBatch.from_arrays([pa.array([field] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(np.diff(ends)), held], ["field", "gram", "n", "ids"])
+                        a, size = b, 0
+                    size += len(text or "")
+
+    lowered = df.select("id", *(F.lower(f).alias(f"f{k}") for k, f in enumerate(fields)))
+    return lowered.mapInArrow(run, f"field string, gram string, n int, ids array<{df.schema['id'].dataType.simpleString()}>")
+
+
 def build(df: DataFrame, path: str, fields: tuple[str, ...] = records.ALL_FIELDS) -> None:
-    """Writes the index of df (id and fields) to ``path``; rows are counted partially before their one shuffle."""
-    held = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields)))
-    rows = df.select("id", held.alias("h")).select("id", "h.field", F.explode(grams_of(F.col("h.text"))).alias("gram"))
-    rows = rows.withColumn("part", _part(F.col("gram"))).repartition("part", "field", "gram").sortWithinPartitions("part", "field", "gram", "id")
-    rows.write.partitionBy("part").parquet(f"{path}/postings")
-    counts = df.sparkSession.read.parquet(f"{path}/postings").groupBy("part", "field", "gram").agg(F.count("*").alias("n"))
+    """Writes the index of df (id and fields) to ``path``; the lists have one shuffle."""
+    rows = postings(dealt(df.select("id", *fields), "id"), fields).withColumn("part", _part(F.col("gram")))
+    rows.repartition("part").sortWithinPartitions("part", "field", "gram").write.partitionBy("part").parquet(f"{path}/postings")
+    counts = df.sparkSession.read.parquet(f"{path}/postings").groupBy("part", "field", "gram").agg(F.sum("n").alias("n"))
     counts.repartition("part").sortWithinPartitions("field", "gram").write.partitionBy("part").parquet(f"{path}/counts")
 
 
@@ -65,12 +123,12 @@ def candidates(spark: SparkSession, path: str, query: str, field: str) -> DataFr
     grams = query_grams(spark, query)
     if not grams:
         return None
-    postings = spark.read.parquet(f"{path}/postings")
+    held = spark.read.parquet(f"{path}/postings")
     counted = {r.gram: r.n for r in _mine(spark.read.parquet(f"{path}/counts"), grams, field).select("gram", "n").collect()}  # one number a trigram
     if len(counted) < len(grams):  # one of them is nowhere
-        return postings.select("id").limit(0)
+        return held.select(F.explode("ids").alias("id")).limit(0)
     rarest = sorted(grams, key=lambda g: (counted[g[1]], g))[:FEWEST]
-    return _mine(postings, rarest, field).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(rarest)).select("id")
+    return _mine(held, rarest, field).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(rarest)).select("id")
 
 
 def search(df: DataFrame, path: str, query: str, field: str = "all", limit: int = 50) -> DataFrame:

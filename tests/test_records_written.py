@@ -137,6 +137,30 @@ def test_index_finds_what_search_finds(spark, tmp_path_factory, monkeypatch, ter
         assert [r.id for r in search_index.search(df, _path, term, field, 5).collect()] == [r.id for r in records.search(df, term, field, 5).collect()]
 
 
+@pytest.mark.parametrize(("together", "texts"), [(1 << 22, 1 << 14), (8, 3), (1 << 22, 1)])
+def test_postings_are_lists(spark, monkeypatch, together, texts):
+    """Each text's trigrams once, as the query's own expressions give them; texts read together share a row for each trigram."""
+    monkeypatch.setattr(search_index, "TOGETHER", together)
+    monkeypatch.setattr(search_index, "TEXTS", texts)
+    df = spark.createDataFrame([*enumerate([*TEXTS, "a\U0001f600b\U0001f600", "aaaaaa"])], "id long, objet string").coalesce(1)
+    got = search_index.postings(df, ("objet",)).collect()
+    want = df.select("id", F.explode(search_index.grams_of(F.col("objet"))).alias("gram")).collect()
+    assert Counter((i, r.gram) for r in got for i in r.ids) == Counter((r.id, r.gram) for r in want)
+    assert all(r.n == len(r.ids) for r in got)
+    if texts == 1 << 14:
+        assert together == 8 or len(got) == len({r.gram for r in want}) < len(want)
+
+
+def test_letters_too_many_for_one_number():
+    """Texts of very many letters are taken apart, down to one."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    texts = [every[i : i + 70_000] for i in range(0, len(every), 70_000)]
+    found = list(search_index.posting_lists()(texts))
+    assert len(found) > 1
+    assert sum(len(places) for _, _, places in found) == sum(len(t) - 2 for t in texts)
+    assert {int(p) for _, _, places in found for p in places} == set(range(len(texts)))
+
+
 def test_only_the_querys_trigrams_are_read(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "id long, objet string")
     search_index.build(df, str(tmp_path / "i"), ("objet",))
