@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from missiva.functions.patterns import any_of, others
+
 ARABIC, ARABIC_WIDE = r"[\x{0600}-\x{06FF}]", r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]"
 #: A to Z, a to z, À to ÿ.
 LATIN = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100))))
@@ -12,7 +14,8 @@ LATIN = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0
 
 def script_counts(t: Column, arabic: str) -> tuple[Column, Column]:
     """Characters of either script. Arabic letters are what is left without the others; of Latin letters, which stand in many short runs, the text without them is shorter."""
-    return F.length(F.regexp_replace(t, f"[^{arabic[1:-1]}]+", "")), F.length(t) - F.length(F.translate(t, LATIN, ""))
+    held = F.length(F.regexp_replace(t, others(arabic[1:-1]) + "+", ""))
+    return F.when(~any_of(t, arabic[1:-1]), 0).otherwise(held), F.length(t) - F.length(F.translate(t, LATIN, ""))
 
 
 def language_scan(t: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from missiva.functions.patterns import has_arabic, let, sub
+from missiva.functions.patterns import any_of, has_arabic, let, sub, where_it_may
 
 # Digits, quotes and dashes.
 ARABIC_DIGITS, PERSIAN_DIGITS, LATIN_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
@@ -103,7 +103,7 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def nfc(t: Column) -> Column:
     """Unicode's canonical composition, which Spark has no function for. Only texts that may need it are sent to Python."""
-    return F.coalesce(_nfc(F.when(t.rlike(f"[^{COMPOSED}]"), t)), t)
+    return F.coalesce(_nfc(F.when(any_of(t, f"^{COMPOSED}"), t)), t)
 
 
 def where(t: Column, holds: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
@@ -113,17 +113,17 @@ def where(t: Column, holds: Callable[[Column], Column], then: Callable[[Column],
 
 def repaired(t: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
     def one(text: Column, rule: tuple[str, str, str]) -> Column:
-        return where(text, lambda x: x.contains(HELD[rule]), lambda x: sub(x, *rule)) if rule in HELD else sub(text, *rule)
+        return where(text, lambda x: x.contains(HELD[rule]), lambda x: sub(x, *rule)) if rule in HELD else where_it_may(text, rule[0], rule[2], lambda x: sub(x, *rule))
 
     return reduce(one, rules, t)
 
 
 def quotes_dashes(t: Column) -> Column:
-    return where(t, lambda x: x.rlike(f"[{QUOTES}{DASHES[1:-1]}]"), lambda x: sub(F.translate(x, QUOTES, PLAIN_QUOTES), DASHES, "-"))
+    return where(t, lambda x: any_of(x, QUOTES + DASHES[1:-1]), lambda x: sub(F.translate(x, QUOTES, PLAIN_QUOTES), DASHES, "-"))
 
 
 def digits(t: Column) -> Column:
-    return where(t, lambda x: x.rlike(f"[{ARABIC_DIGITS}{PERSIAN_DIGITS}]"), lambda x: F.translate(x, ARABIC_DIGITS + PERSIAN_DIGITS, LATIN_DIGITS * 2))
+    return where(t, lambda x: any_of(x, ARABIC_DIGITS + PERSIAN_DIGITS), lambda x: F.translate(x, ARABIC_DIGITS + PERSIAN_DIGITS, LATIN_DIGITS * 2))
 
 
 def unflatten(t: Column) -> Column:
@@ -143,7 +143,7 @@ def years(t: Column) -> Column:
 
 def marks(t: Column) -> Column:
     """Tatweel and vowel marks go, the basmala ligature is spelt out, Arabic punctuation is spaced."""
-    return where(t, lambda x: x.rlike(r"[\x{0600}-\x{06FF}\x{FDFD}]"), lambda x: repaired(x, MARKS))
+    return where(t, lambda x: any_of(x, r"\x{0600}-\x{06FF}\x{FDFD}"), lambda x: repaired(x, MARKS))
 
 
 def noise_lines(t: Column) -> Column:

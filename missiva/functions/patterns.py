@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache, reduce
+from re import _constants as node
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,8 +17,82 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags}){pattern}"
 
 
-def has(text: Column, pattern: str, flags: str = "") -> Column:
-    return F.coalesce(text.rlike(rx(pattern, flags)), F.lit(False))
+#: The shortest literal that is worth looking for before a pattern is tried, and how many may stand for each other.
+LITERAL_LEAST, LITERALS_MOST = 2, 12
+#: Capitals and other letters that a pattern without case takes for i, s and k, and ``lower`` doesn't.
+ODD_CASES = "\u0130\u0131\u017f\u212a"
+
+
+def _literals(items) -> tuple[str, ...]:
+    """Of a parsed pattern, the literals of which each match holds one; () where none is long enough or they are too many."""
+    found, run = [], ""
+    for op, value in [*items, (None, None)]:
+        if op is node.LITERAL:
+            run += chr(value)
+            continue
+        found.append((run,))
+        run = ""
+        if op is node.SUBPATTERN and not value[1] and not value[2]:
+            found.append(_literals(value[3]))
+        elif op is node.BRANCH:
+            each = [_literals(x) for x in value[1]]
+            found.append(tuple(dict.fromkeys(lit for one in each for lit in one)) if all(each) else ())
+        elif op in (node.MAX_REPEAT, node.MIN_REPEAT) and value[0] > 0:
+            found.append(_literals(value[2]))
+    fit = [x for x in found if x and len(x) <= LITERALS_MOST and min(map(len, x)) >= LITERAL_LEAST]
+    return max(fit, key=lambda x: (-len(x), min(map(len, x))), default=())
+
+
+@cache
+def literals(pattern: str) -> tuple[str, ...]:
+    """Literals of which each match of the pattern holds one, as far as they can be read from it; () without any."""
+    try:
+        return _literals(parser.parse(re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", pattern).replace(r"\z", r"\Z")))
+    except re.error:  # Java's alone
+        return ()
+
+
+def folded(text: Column) -> Column:
+    """The text in lower case, as a pattern without case sees it."""
+    odd = reduce(lambda a, b: a | b, (text.contains(x) for x in ODD_CASES))
+    return F.lower(F.when(odd, F.translate(text, ODD_CASES, "iisk")).otherwise(text))
+
+
+def may_hold(text: Column, pattern: str, flags: str = "", low: Column | None = None) -> Column | None:
+    """Whether the text holds one of the pattern's literals, which is far cheaper than to try the pattern; None if it has none. ``low``: folded(text), where that is known."""
+    looked_for = literals(pattern)
+    if not looked_for:
+        return None
+    if "i" not in flags:
+        return reduce(lambda a, b: a | b, (text.contains(x) for x in looked_for))
+    wanted = dict.fromkeys(x.lower() for x in looked_for)
+    return let(folded(text) if low is None else low, lambda low: reduce(lambda a, b: a | b, (low.contains(x) for x in wanted)))
+
+
+def has(text: Column, pattern: str, flags: str = "", low: Column | None = None) -> Column:
+    def tried(t: Column) -> Column:
+        return t.rlike(rx(pattern, flags))
+
+    if not literals(pattern):
+        return F.coalesce(tried(text), F.lit(False))
+    return F.coalesce(let(text, lambda t: may_hold(t, pattern, flags, low) & tried(t)), F.lit(False))
+
+
+@cache
+def others(letters: str) -> str:
+    """The class of all characters that aren't in the class ``letters``, by ranges: Java runs a negated class many times more slowly."""
+    said = parser.parse(re.sub(r"\\x\{([0-9A-F]{1,4})\}", lambda m: f"\\u{m[1]:0>4}", f"[{letters}]"))[0]
+    items = [said] if said[0] is not node.IN else said[1]
+    spans = sorted((v, v) if op in (node.LITERAL, node.NOT_LITERAL) else v for op, v in items if op is not node.NEGATE)
+    if items[0][0] not in (node.NEGATE, node.NOT_LITERAL):
+        ends = [-1, *(x for low, high in spans for x in (low, high)), 0x110000]
+        spans = [(low + 1, high - 1) for low, high in zip(ends[::2], ends[1::2]) if low + 1 <= high - 1]
+    return "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in spans) + "]"
+
+
+def any_of(text: Column, letters: str) -> Column:
+    """Whether a character of the class ``letters`` (without its brackets) occurs: one run over those before it, not a trial at each place."""
+    return ~text.rlike(rf"\A{others(letters)}*+\z")
 
 
 def group(text: Column, pattern: str, index: int = 1, flags: str = "") -> Column:
@@ -27,14 +104,19 @@ def sub(text: Column, pattern: str, to: str, flags: str = "") -> Column:
     return F.regexp_replace(text, rx(pattern, flags), to)
 
 
+def where_it_may(text: Column, pattern: str, flags: str, then: Callable[[Column], Column]) -> Column:
+    """then(text), which changes nothing without a match, where the text holds one of the pattern's literals."""
+    return let(text, lambda t: F.when(may_hold(t, pattern, flags), then(t)).otherwise(t)) if literals(pattern) else then(text)
+
+
 def before(text: Column, pattern: str, flags: str = "") -> Column:
     """The text up to the first match; all of it without one. (split would compile its pattern for every row.)"""
-    return sub(text, rf"(?:{pattern})(?s:.*)\z", "", flags)
+    return where_it_may(text, pattern, flags, lambda t: sub(t, rf"(?:{pattern})(?s:.*)\z", "", flags))
 
 
 def after(text: Column, pattern: str, flags: str = "") -> Column:
     """The text past the first match; all of it without one."""
-    return sub(text, rf"\A(?s:.*?)(?:{pattern})", "", flags)
+    return where_it_may(text, pattern, flags, lambda t: sub(t, rf"\A(?s:.*?)(?:{pattern})", "", flags))
 
 
 def start(text: Column, pattern: str, flags: str = "") -> Column:
@@ -53,10 +135,10 @@ def either(patterns: tuple[str, ...]) -> str:
 
 
 def groups(text: Column, pattern: str, n: int, flags: str = "") -> Column:
-    """Groups 1 to n of the first match as an array, from two runs of the pattern; null without a match."""
+    """Groups 1 to n of the first match as an array; null without a match. The pattern, which looks no further than its match, is found once and read again in the match alone."""
     between = "\x01"  # no letter holds it
-    all_ = sub(text, rf"\A(?s:.*?)(?:{pattern})(?s:.*)\z", between.join(f"${i}" for i in range(1, n + 1)), flags)
-    return F.when(has(text, pattern, flags), F.split(all_, between, -1))
+    found = let(text, lambda t: F.when(may, F.regexp_extract(t, rx(pattern, flags), 0)) if (may := may_hold(t, pattern, flags)) is not None else F.regexp_extract(t, rx(pattern, flags), 0))
+    return let(found, lambda m: F.when(m != "", F.split(sub(m, rf"\A(?:{pattern})\z", between.join(f"${i}" for i in range(1, n + 1)), flags), between, -1)))
 
 
 #: Arabic letters and marks; without one, no Arabic rule can match.
@@ -64,7 +146,7 @@ ARABIC_BLOCK = r"[\x{0600}-\x{06FF}]"
 
 
 def has_arabic(text: Column) -> Column:
-    return F.coalesce(text.rlike(ARABIC_BLOCK), F.lit(False))
+    return F.coalesce(any_of(text, ARABIC_BLOCK[1:-1]), F.lit(False))
 
 
 def cut(text: Column, low: Column | int, high: Column) -> Column:
@@ -107,20 +189,24 @@ def _only_arabic(pattern: str) -> bool:
     return all(re.match(r"(?:\^|\\b|\\s\*|\(\?:)*[\u0600-\u06FF]", x) for x in pattern.split("|"))
 
 
-def _may_occur(text: Column, pattern: str, flags: str, arabic: Column | None) -> Column:
-    found = has(text, pattern, flags)
+def _folded_once(text: Column, flags: str, then: Callable[[Column, Column | None], Column]) -> Column:
+    return let(text, lambda t: let(folded(t), lambda low: then(t, low)) if "i" in flags else then(t, None))
+
+
+def _may_occur(text: Column, pattern: str, flags: str, arabic: Column | None, low: Column | None) -> Column:
+    found = has(text, pattern, flags, low)
     return found if arabic is None or not _only_arabic(pattern) else arabic & found
 
 
 def first_name(text: Column, table: list[tuple[str, str]], flags: str = "", arabic: Column | None = None) -> Column:
     """The name of the first row of (pattern, name) that occurs; ``arabic``: whether the text holds Arabic letters, where that is known."""
-    return F.coalesce(*(F.when(_may_occur(text, p, flags, arabic), F.lit(name)) for p, name in table))
+    return _folded_once(text, flags, lambda t, low: F.coalesce(*(F.when(_may_occur(t, p, flags, arabic, low), F.lit(name)) for p, name in table)))
 
 
 def best_name(text: Column, table: list[tuple[str, str, int]], flags: str = "", arabic: Column | None = None) -> Column:
     """The name with the highest priority of (pattern, name, priority); the earliest row wins ties."""
     order = sorted(range(len(table)), key=lambda i: (-table[i][2], i))
-    return F.coalesce(*(F.when(_may_occur(text, table[i][0], flags, arabic), F.lit(table[i][1])) for i in order))
+    return _folded_once(text, flags, lambda t, low: F.coalesce(*(F.when(_may_occur(t, table[i][0], flags, arabic, low), F.lit(table[i][1])) for i in order)))
 
 
 def mapped(key: Column, table: dict[str, str]) -> Column:

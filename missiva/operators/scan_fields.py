@@ -93,7 +93,7 @@ def objet(t: Column) -> Column:
 
 
 def type_document(t: Column) -> Column:
-    return F.coalesce(first_name(F.substring(t, 1, 3000), R.TYPES), F.lit("lettre"))
+    return F.coalesce(let(F.substring(t, 1, 3000), lambda x: first_name(x, R.TYPES)), F.lit("lettre"))
 
 
 def _presidency(zone: Column) -> Column:

@@ -301,3 +301,31 @@ def test_costly_steps_are_worked_out_once(spark):
     finally:
         spark.conf.unset("spark.sql.maxPlanStringLength")
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+@pytest.mark.parametrize("flags", ["", "i"])
+def test_literals_guard_patterns_and_change_nothing(spark, flags):
+    """A pattern is tried only where a text holds one of its literals; letters of odd cases count as the pattern counts them."""
+    from missiva.functions import patterns, rules
+
+    assert patterns.literals(r"\b[Rr]apport\b|تقرير\b") == ("apport", "تقرير") and patterns.literals(r"N[°ºoO]\s*(\d{2,4})") == ()
+    assert patterns.literals(r"(?:abc)?\d+") == () and patterns.literals(r"x(?:ab|cd)+") == ("ab", "cd")
+    tables = (rules.TYPES, rules.TITLES, rules.BODIES_FR, rules.BODIES_AR)
+    rows = [x[0] for t in tables for x in t] + [rules.PRESIDENCY_LINE, rules.SENDER_TITLED, *rules.SCAN_STAMPS]
+    texts = ["Note de service", "PV", "le RAPPORT", "Demande de", "FST", "La Prés\u0131dence", "La Pre\u017f\u0130dence", "cade", "CAD\u0130 AYYAD MAR", "\u212af", "", None,
+             "رئاسة جامعة القاضي عياض", "من السيد عميد كلية العلوم", "قرار", "a\nLa Présidence\n", "faculté des ſciences et techniques", "Le  Doyen"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(*(patterns.has(t, p, flags).alias(f"c{i}") for i, p in enumerate(rows))).collect()
+    want = df.select(*(F.coalesce(t.rlike(patterns.rx(p, flags)), F.lit(False)).alias(f"c{i}") for i, p in enumerate(rows))).collect()
+    assert got == want and any(any(r) for r in got)
+
+
+def test_classes_are_run_over_not_tried_at_each_place(spark):
+    from missiva.functions import normalise, patterns
+
+    df = spark.createDataFrame([(t,) for t in ("", "abc", "٣", "a۹", "\U0001f600", "x\n\u064b", "e\u0301", None)], "t string")
+    for letters in (normalise.ARABIC_DIGITS + normalise.PERSIAN_DIGITS, patterns.ARABIC_BLOCK[1:-1], "^" + normalise.COMPOSED):
+        assert df.select(patterns.any_of(F.col("t"), letters)).collect() == df.select(F.col("t").rlike(f"[{letters}]")).collect()
+    groups = df.select(patterns.groups(F.lit("le 12 mai 2024, le 13 juin 2025"), r"(\d{1,2})\s+(\w+)\s+(\d{4})\b", 3).alias("g")).first()
+    assert groups.g == ["12", "mai", "2024"]
