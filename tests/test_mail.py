@@ -329,3 +329,15 @@ def test_classes_are_run_over_not_tried_at_each_place(spark):
         assert df.select(patterns.any_of(F.col("t"), letters)).collect() == df.select(F.col("t").rlike(f"[{letters}]")).collect()
     groups = df.select(patterns.groups(F.lit("le 12 mai 2024, le 13 juin 2025"), r"(\d{1,2})\s+(\w+)\s+(\d{4})\b", 3).alias("g")).first()
     assert groups.g == ["12", "mai", "2024"]
+
+
+def test_a_body_is_found_in_a_long_line_and_rules_are_tried_only_where_they_may_change(spark):
+    """The issuing body's first rule began with all of a line, so that it cost the square of the line's length."""
+    import time
+
+    from missiva.operators import text_fields
+
+    long = "Université Cadi Ayyad " * 9000
+    began = time.time()
+    got = spark.createDataFrame([(long,), (long + "La Présidence",)], "t string").select(text_fields.etablissement(F.col("t")).alias("b")).collect()
+    assert [r.b for r in got] == [None, "La Présidence - Marrakech"] and time.time() - began < 60
